@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import chat, exact_dedup, mixing, warc
+from nodeloom.llm import chat, exact_dedup, language_id, mixing, pii, toxicity, warc
 from nodeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,24 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(chat.with_forged(spark, table(spark, sf_dir, "conversations")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -28,5 +42,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_digests(warc.round_trip(table(spark, sf_dir, "pages")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op4_source_mixing, op9_exact_dedup, op10_warc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op4_source_mixing, op6_toxicity, op8_language_id, op9_exact_dedup, op10_warc)}
 SQL: dict[str, str] = {"op1_chat_formatting": chat.SQL, "op4_source_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL, "op10_warc": warc.SQL}
