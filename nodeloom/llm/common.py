@@ -119,9 +119,13 @@ def chunks(data: np.ndarray, at: np.ndarray, most: int = 1 << 20) -> Iterator[tu
         i = j
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes of letters and digits; all bytes of multi-byte characters count as letters.
+LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
+
+def words(data: np.ndarray, at: np.ndarray, part_of_word: np.ndarray = ~_IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, row and hash (A-Z folded) of each word; words never cross rows."""
-    inside = ~_IS_SPACE[data]
+    inside = part_of_word[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

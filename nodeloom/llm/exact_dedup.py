@@ -158,9 +158,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were."""
-    dropped = exact_groups(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col("__dropped")), "left_anti")
+    """The rows of ``docs`` that stay, all columns as they were; of rows that repeat both id and text one stays."""
+    found = exact_groups(docs, id_col, text_col)
+    dropped = found.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    sha = F.sha2(normalized(no_nulls(text_col)), 256)
+    out = docs.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")
+    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    if repeated.isEmpty():
+        return out
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    again = out.join(repeated, same, "left_semi").withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
+    return out.join(repeated, same, "left_anti").unionByName(again)
 
 
 SQL = r"""
