@@ -41,7 +41,7 @@ class Snapshot:
 
 
 def _widest(a: T.DataType, b: T.DataType) -> T.DataType:
-    if a == b:
+    if a == b or isinstance(a, (T.ArrayType, T.MapType, T.StructType)):
         return a
     if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
         return T.DoubleType()
@@ -51,7 +51,8 @@ def _widest(a: T.DataType, b: T.DataType) -> T.DataType:
 def append(df: DataFrame, more: DataFrame) -> DataFrame:
     """Union by name; a property of two types becomes a double if both are numbers, else a string."""
     for f in more.schema:
-        if f.name in df.columns and (t := _widest(df.schema[f.name].dataType, f.dataType)):
+        if f.name in df.columns and not isinstance(f.dataType, T.ArrayType):
+            t = _widest(df.schema[f.name].dataType, f.dataType)
             if df.schema[f.name].dataType != t:
                 df = df.withColumn(f.name, F.col(quoted(f.name)).cast(t))
             if f.dataType != t:

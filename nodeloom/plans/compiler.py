@@ -304,7 +304,9 @@ class Compiler:
 
     def _expand(self, rows: Rows, near: Node, near_labels: set[str] | None, e: s.EdgePattern, n: s.NodePattern, named: bool, reversed_: bool) -> tuple[Rows, Node, Column, Column]:
         df = self._frame(rows)
-        edges, edge, tables = self.edges(e, e.name or "r", near, near_labels)
+        # later steps of a path of variable length leave from anywhere
+        begin = Node(near.id, None, None, {}) if e.variable else near
+        edges, edge, tables = self.edges(e, e.name or "r", begin, None if e.variable else near_labels)
         again = rows.scope.get(e.name) if e.name else None
         if edges is None:
             edges = self.spark.createDataFrame([], f"{edge.id} string, {edge.src} string, {edge.dst} string, {edge.type} string")
@@ -316,10 +318,8 @@ class Compiler:
         between = F.array()
         if e.variable:
             df, steps, between = trails(self, df, near, edges, edge, e, named, reversed_)
-            there, there_space = edge.dst if not e.incoming else edge.src, there_space
-            far_col, far_space = F.col(f"{edge.id}_cur"), None if near.space is None or here_space != there_space else near.space
-            if here_space != there_space:
-                far_space = None
+            native = near.space is not None and here_space == there_space == near.space
+            far_col, far_space = F.col(f"{edge.id}_cur"), near.space if native else None
         else:
             df = df.join(edges, self._same(F.col(near.id), near.space, F.col(here), here_space))
             far_col, far_space = F.col(there), there_space
@@ -438,20 +438,25 @@ class Compiler:
         seeds = df.select(*cols).distinct()
         return df, self.match(Rows(seeds, dict(inner)), paths, where), cols
 
-    def _join_back(self, df: DataFrame, sub: DataFrame, cols: list[str], how: str) -> DataFrame:
+    def _join_back(self, df: DataFrame, sub: DataFrame, cols: list[str], how: str, strict: set[str] = frozenset()) -> DataFrame:  # type: ignore[assignment]
+        """``strict``: columns that no match has as null, so plain equality will do."""
         if not cols:
             if how in ("left_semi", "left_anti"):
                 return df.join(sub.limit(1), F.lit(True), how)
             return df.join(sub, F.lit(True), how)
         other = {c: self._name("o") for c in cols}
         sub = sub.withColumnsRenamed(other)
-        cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(o)) for c, o in other.items()])
+        cond = reduce(lambda a, b: a & b, [F.col(c) == F.col(o) if c in strict else F.col(c).eqNullSafe(F.col(o)) for c, o in other.items()])
         out = df.join(sub, cond, how)
         return out if how in ("left_semi", "left_anti") else out.drop(*other.values())
 
+    @staticmethod
+    def _strict(scope: Scope, paths: Iterable[s.Path]) -> set[str]:
+        return {b.id for p in paths for n in p.nodes if n.name and isinstance(b := scope.get(n.name), Node)}
+
     def semi(self, rows: Rows, e: s.Exists, negated: bool) -> Rows:
         df, sub, cols = self._correlate(rows, e.paths, e.where)
-        out = self._join_back(df, self._frame(sub).select(*cols) if cols else self._frame(sub), cols, "left_anti" if negated else "left_semi")
+        out = self._join_back(df, self._frame(sub).select(*cols) if cols else self._frame(sub), cols, "left_anti" if negated else "left_semi", self._strict(rows.scope, e.paths))
         return Rows(out, rows.scope)
 
     def optional(self, rows: Rows, c: s.Match) -> Rows:
@@ -460,7 +465,7 @@ class Compiler:
         keep = [x for b in new.values() for x in (b.columns() if isinstance(b, (Node, Edge)) else [b.col._jc.toString()])]
         if rows.df is None:
             df = self.spark.range(1).select(F.lit(1).alias(_UNIT))
-        out = self._join_back(df, self._frame(sub).select(*cols, *dict.fromkeys(keep)), cols, "left")
+        out = self._join_back(df, self._frame(sub).select(*cols, *dict.fromkeys(keep)), cols, "left", self._strict(rows.scope, c.paths))
         return Rows(out, rows.scope | new)
 
     def extract(self, rows: Rows, e: s.Expr) -> tuple[Rows, s.Expr]:
@@ -490,7 +495,7 @@ class Compiler:
         if isinstance(x, s.Exists):
             df, sub, cols = self._correlate(rows, x.paths, x.where)
             marks = self._frame(sub).select(*cols).distinct() if cols else self._frame(sub).limit(1).select()
-            out = self._join_back(df, marks.withColumn(name, F.lit(True)), cols, "left")
+            out = self._join_back(df, marks.withColumn(name, F.lit(True)), cols, "left", self._strict(rows.scope, x.paths))
             return Rows(out, rows.scope), Val(F.coalesce(F.col(name), F.lit(False)), BOOL)
         counted = isinstance(x, s.Call)
         if isinstance(x, s.PatternComprehension):
@@ -519,7 +524,7 @@ class Compiler:
             agg = F.transform(F.collect_list(F.struct(v.col.alias("x"))), lambda y: y["x"])
             empty = F.array().cast(t)
         grouped = (found.groupBy(*cols) if cols else found.groupBy()).agg(agg.alias(name))
-        out = self._join_back(df, grouped, cols, "left")
+        out = self._join_back(df, grouped, cols, "left", self._strict(rows.scope, [path]))
         return Rows(out, rows.scope), Val(F.coalesce(F.col(name), empty), t)
 
     # ---------------------------------------------------------------- projection

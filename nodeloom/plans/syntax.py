@@ -151,6 +151,12 @@ class Column(Expr):
 
     value: Any
 
+    def __eq__(self, other: object) -> bool:
+        return self is other
+
+    def __hash__(self) -> int:
+        return id(self)
+
 
 @dataclass(frozen=True)
 class Item:
