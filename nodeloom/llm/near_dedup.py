@@ -8,9 +8,9 @@ are expected to have, and pairs that could reach the threshold are confirmed on
 
 At similarity 0.8 a link is missed by all bands with probability (1 - 0.8**6)**42 = 3e-6, less above. A link is a matter
 between different texts: documents with equal sets are one class and only its smallest id goes on. A band's group is not
-turned into pairs: its members are compared with one leader, a second leader settles what that leaves apart, and only
-members that are still in different components are paired, so that no link between components is lost, whatever the
-group's size. Sets are made for candidates only.
+turned into pairs: its members are compared with a leader, the one with most company, then with two drawn at random if
+they are still apart, and only members of different components that could be similar at all (see ``_rest``) are paired,
+so that no link between components is lost, whatever the group's size. Sets are made for candidates only.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; with fewer words than a shingle
 the whole sequence is the one shingle; documents that share an id are one node; a null id is linked with nothing and
@@ -146,6 +146,10 @@ def _promising(pairs: DataFrame, signs: DataFrame, threshold: float) -> DataFram
     return pairs.join(two, "b").join(one, "a").select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
 class NearDuplicates:
     """Links of ``docs`` and what follows from them."""
 
@@ -176,25 +180,40 @@ class NearDuplicates:
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
     def _find_links(self) -> DataFrame:
+        """Links that join up all components; each band's members are compared with a few leaders, then only what is left apart."""
         each = self.reps.select("id", "n", "regs").mapInArrow(_explode_bands, "band long, id long, n long")
-        shared = each.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.min_by("n", "id").alias("lead_n")).where("lead < last").drop("last")
-        members = materialize(each.join(shared, "band"), "bands")
-        stars = members.where((F.col("id") != F.col("lead")) & self._close("n", "lead_n")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-        links = materialize(self._verify(stars, "first"), "links")
-        for turn in ("second", "rest"):
-            known = components(links)
-            rows = members.select("band", "id", "n").join(known.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("c"))
-            mixed = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by(F.struct("id", "n", "c"), F.struct(F.xxhash64("id", "band"), "id")).alias("lead")).where("lo < hi")
-            rows = materialize(rows.join(mixed, "band"), "mixed")
-            if turn == "second":
-                pairs = rows.where((F.col("c") != F.col("lead.c")) & self._close("n", "lead.n")).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
-            else:
-                other = rows.select("band", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("e"))
-                pairs = rows.join(other, "band").where((F.col("c") < F.col("e")) & self._close("n", "m")).select(F.col("id").alias("a"), "b")
-            more = self._verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), turn)
-            links = materialize(links.unionByName(more).distinct(), "links")
+        shared = each.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        members = each.join(shared, "band")
+        # the member with most company is likeliest to be what the others are copies of
+        degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
+        members = materialize(members.join(degree, "id").select("band", "id", "n", "degree"), "bands")
+        leads = members.groupBy("band").agg(F.max_by(F.struct("id", "n"), F.struct("degree", "id")).alias("lead"))
+        stars = members.join(leads, "band").where((F.col("id") != F.col("lead.id")) & self._close("n", "lead.n"))
+        links = materialize(self._verify(_ordered(stars, "lead.id", "id"), "first"), "links")
+        for turn in ("second", "third", "rest"):
+            known = components(links).withColumnRenamed("node", "id")
+            rows = members.select("band", "id", "n").join(known, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("c"))
+            mixed = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by(F.struct("id", "n", "c"), F.struct(F.xxhash64("id", "band", F.lit(turn)), "id")).alias("lead")).where("lo < hi")
+            rows = materialize(rows.join(mixed, "band").select("band", "id", "n", "c", "lead"), "mixed")
+            pairs = self._rest(rows) if turn == "rest" else _ordered(rows.where((F.col("c") != F.col("lead.c")) & self._close("n", "lead.n")), "lead.id", "id")
+            links = materialize(links.unionByName(self._verify(pairs, turn)).distinct(), "links")
         return links
 
+    def _rest(self, rows: DataFrame) -> DataFrame:
+        """All pairs of a band that are in different components and whose sets could reach the threshold.
+
+        Hashes that no other document of these bands has cannot be shared, which bounds what a pair can have in common:
+        in a group of edited copies that leaves few pairs, and none of those that could be links is left out.
+        """
+        wanted = rows.select(F.col("id").alias("doc_id")).distinct()
+        sets = _sets(self.docs.join(wanted, "doc_id", "left_semi"), self.size)
+        single = sets.select("id", F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1")
+        own = single.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+        rows = materialize(rows.join(own, "id", "left").select("band", "id", "n", "c", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")), "rest")
+        other = rows.select("band", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("e"), F.col("common").alias("d"))
+        enough = F.least("common", "d") * (100 + self.percent) >= (F.col("n") + F.col("m")) * self.percent
+        return _ordered(rows.join(other, "band").where((F.col("c") < F.col("e")) & self._close("n", "m") & enough), "id", "b")
+
     def membership(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id, kept."""
         found = components(self.links)
