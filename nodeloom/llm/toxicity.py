@@ -51,22 +51,23 @@ def train(texts: pa.Array, toxic: np.ndarray, share: float, features: int = 4096
     none = Model(np.zeros(0), np.zeros(0), np.log(share / (1 - share)))
     if toxic.all() or not toxic.any():
         return none
-    found = [(*np.unique(s, return_counts=True), n) for s, n in ngrams.slots_of(*texts_of(texts), SIZES, BITS)]
+    data, at = texts_of(texts)
     seen = np.ones((2, 1 << BITS))
-    for (slots, _, _), t in zip(found, toxic, strict=True):
-        seen[int(t)][slots] += 1
+    for (slots, _), t in zip(ngrams.slots_of(data, at, SIZES, BITS), toxic, strict=True):
+        seen[int(t)][np.unique(slots)] += 1
     part = seen / (np.array([(~toxic).sum(), toxic.sum()])[:, None] + 2.0)
     ratio = np.log(part[1] / part[0])
     keep = np.sort(np.argsort(-np.abs(ratio) * part.max(axis=0), kind="stable")[:features])
     place = np.full(1 << BITS, -1)
     place[keep] = np.arange(len(keep))
     row, col, value = [], [], []
-    for i, (slots, count, length) in enumerate(found):
-        at = place[slots]
-        use = at >= 0
-        row.append(np.full(int(use.sum()), i))
-        col.append(at[use])
-        value.append(count[use] * ratio[slots[use]] / np.sqrt(length))
+    for i, (slots, length) in enumerate(ngrams.slots_of(data, at, SIZES, BITS)):  # again, rather than all n-grams in memory
+        found, count = np.unique(place[slots], return_counts=True)
+        use = found >= 0
+        found, count = found[use].astype(np.int32), count[use]
+        row.append(np.full(len(found), i, np.int32))
+        col.append(found)
+        value.append((count * ratio[keep[found]] / np.sqrt(length)).astype(np.float32))
     weight = np.where(toxic, share / toxic.sum(), (1 - share) / (~toxic).sum())
     w, b = sparse_logistic(np.concatenate(row), np.concatenate(col), np.concatenate(value), np.where(toxic, 1.0, -1.0), weight, len(keep), penalty)
     return Model(keep, w * ratio[keep], b)
