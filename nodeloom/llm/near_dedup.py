@@ -8,7 +8,7 @@ are expected to have, and pairs that could reach the threshold are confirmed on
 
 At similarity 0.8 a link is missed by all bands with probability (1 - 0.8**6)**42 = 3e-6, less above. A link is a matter
 between different texts: documents with equal sets are one class and only its smallest id goes on. A band's group is not
-turned into pairs: its members are compared with a leader, the one with most company, then with two drawn at random if
+turned into pairs: its members are compared with a leader, the one with most company, then with one drawn at random if
 they are still apart, and only members of different components that could be similar at all (see ``_rest``) are paired,
 so that no link between components is lost, whatever the group's size. Sets are made for candidates only.
 
@@ -190,7 +190,7 @@ class NearDuplicates:
         leads = members.groupBy("band").agg(F.max_by(F.struct("id", "n"), F.struct("degree", "id")).alias("lead"))
         stars = members.join(leads, "band").where((F.col("id") != F.col("lead.id")) & self._close("n", "lead.n"))
         links = materialize(self._verify(_ordered(stars, "lead.id", "id"), "first"), "links")
-        for turn in ("second", "third", "rest"):
+        for turn in ("second", "rest"):
             known = components(links).withColumnRenamed("node", "id")
             rows = members.select("band", "id", "n").join(known, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("c"))
             mixed = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by(F.struct("id", "n", "c"), F.struct(F.xxhash64("id", "band", F.lit(turn)), "id")).alias("lead")).where("lo < hi")
@@ -202,12 +202,13 @@ class NearDuplicates:
     def _rest(self, rows: DataFrame) -> DataFrame:
         """All pairs of a band that are in different components and whose sets could reach the threshold.
 
-        Hashes that no other document of these bands has cannot be shared, which bounds what a pair can have in common:
-        in a group of edited copies that leaves few pairs, and none of those that could be links is left out.
+        Documents that bands connect, however loosely, are a cluster. Hashes that no other document of the cluster has
+        cannot be shared, which bounds what a pair can have in common: in a group of edited copies that leaves few pairs,
+        and none of those that could be links is left out.
         """
-        wanted = rows.select(F.col("id").alias("doc_id")).distinct()
-        sets = _sets(self.docs.join(wanted, "doc_id", "left_semi"), self.size)
-        single = sets.select("id", F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1")
+        clusters = components(rows.select(F.col("id").alias("a"), F.col("lead.id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+        sets = _sets(self.docs.join(clusters.select("doc_id"), "doc_id", "left_semi"), self.size).join(clusters, F.col("id") == F.col("doc_id"))
+        single = sets.select("cluster", "id", F.explode("set").alias("h")).groupBy("cluster", "h").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1")
         own = single.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
         rows = materialize(rows.join(own, "id", "left").select("band", "id", "n", "c", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")), "rest")
         other = rows.select("band", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("e"), F.col("common").alias("d"))
