@@ -206,6 +206,35 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(docs_of(spark, texts).limit(0), bench).count() == 0
 
 
+def brute_leaks(texts, items):
+    """(row, item) by the confirmation of every passage, with half an item on either side."""
+    import pyarrow as pa
+
+    words = decontamination.Items.of(list(range(len(items))), items, [None] * len(items))
+    out = set()
+    for i, hashed, begin in decontamination._word_lists(pa.array(texts)):
+        for r in range(len(begin) - 1):
+            text = hashed[begin[r] : begin[r + 1]]
+            for k, (w, answer) in enumerate(zip(words.words, words.answers, strict=True)):
+                starts = range(0, max(1, len(text) - 32), 32)
+                if len(w) and len(text) and any(decontamination.confirm(text[max(0, a - len(w) // 2) : a + 64 + len(w) // 2], w, answer)[0] for a in starts):
+                    out.add((i + r, k))
+    return out
+
+
+def test_items_that_stand_in_many_documents(spark):
+    rng = random.Random(12)
+    items = [sentence(rng, 36), "the of and the", sentence(rng, 20) + " the the the the", sentence(rng, 30)]
+    for rows, share, plain in ((90, 1 / 3, 80), (90, 1.0, 0), (3, 1 / 3, 200), (3, 1.0, 0)):
+        texts = [" ".join([sentence(rng, plain), items[0] if i < share * rows else "", items[1 + i % 2] if i % 2 else "", sentence(rng, plain)]) for i in range(rows)]
+        want = brute_leaks(texts, items)
+        assert {(i, 0) for i in range(round(share * rows))} <= want
+        df, bench = docs_of(spark, list(enumerate(texts))), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+        assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(df, bench).collect()} == want
+        kept = {r["doc_id"] for r in decontamination.decontaminate(df, bench).collect()}
+        assert kept == set(range(rows)) - {i for i, _ in want}
+
+
 def test_common_subsequence():
     import numpy as np
 
