@@ -235,6 +235,25 @@ def test_items_that_stand_in_many_documents(spark):
         assert kept == set(range(rows)) - {i for i, _ in want}
 
 
+def test_paraphrases_without_their_rarest_words(spark):
+    """Whatever words are changed, candidates hold every passage that brute force confirms."""
+    rng = random.Random(21)
+    common = [w + str(k) for w in WORDS for k in range(4)]
+    items = [" ".join([rng.choice(common) for _ in range(28)] + [f"rare{k}x{i}" for i in range(7)]) for k in range(20)]
+    texts = []
+    for i in range(200):
+        words = items[i % 20].split()
+        for j in rng.sample(range(35), 7) if i % 2 else range(28, 35):
+            words[j] = f"new{i}y{j}"
+        rest = [rng.choice(common) if rng.random() < 0.6 else f"own{i}z{j}" for j in range(320)]
+        at = rng.randrange(320)
+        texts.append(" ".join(rest[:at] + words + rest[at:]))
+    want = brute_leaks(texts, items)
+    assert len(want) > 150
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs_of(spark, list(enumerate(texts))), bench).collect()} == want
+
+
 def test_common_subsequence():
     import numpy as np
 
