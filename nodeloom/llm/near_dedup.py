@@ -161,7 +161,13 @@ class NearDuplicates:
         self.classes = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"))
         leaders = self.classes.select(F.col("digest").alias("d"), "rep")
         firsts = filled.join(leaders, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-        self.reps = materialize(firsts.select(F.col("doc_id").alias("id"), "n", "regs").dropDuplicates(["id"]), "classes")
+        # an id with several texts may stand for several classes: one row for each
+        self.reps = materialize(firsts.select(F.col("doc_id").alias("id"), "digest", "n", "regs").dropDuplicates(["id", "digest"]).drop("digest"), "classes")
+        several = filled.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi")
+        self.several = materialize(several.select("doc_id"), "several")
+        own = filled.join(self.several, "doc_id", "left_semi").select("doc_id", "digest")
+        #: links between the classes of an id's texts, by way of the id
+        self.same_id = own.join(leaders, F.col("digest") == F.col("d")).where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
         self.links = self._find_links()
 
     def _verify(self, pairs: DataFrame, label: str) -> DataFrame:
@@ -189,7 +195,7 @@ class NearDuplicates:
         members = materialize(members.join(degree, "id").select("band", "id", "n", "degree"), "bands")
         leads = members.groupBy("band").agg(F.max_by(F.struct("id", "n"), F.struct("degree", "id")).alias("lead"))
         stars = members.join(leads, "band").where((F.col("id") != F.col("lead.id")) & self._close("n", "lead.n"))
-        links = materialize(self._verify(_ordered(stars, "lead.id", "id"), "first"), "links")
+        links = materialize(self._verify(_ordered(stars, "lead.id", "id"), "first").unionByName(self.same_id).distinct(), "links")
         for turn in ("second", "rest"):
             known = components(links).withColumnRenamed("node", "id")
             rows = members.select("band", "id", "n").join(known, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("c"))
@@ -210,6 +216,7 @@ class NearDuplicates:
         sets = _sets(self.docs.join(clusters.select("doc_id"), "doc_id", "left_semi"), self.size).join(clusters, F.col("id") == F.col("doc_id"))
         single = sets.select("cluster", "id", F.explode("set").alias("h")).groupBy("cluster", "h").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1")
         own = single.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+        own = own.join(self.several, F.col("id") == F.col("doc_id"), "left_anti")  # theirs are of all texts, no bound for one
         rows = materialize(rows.join(own, "id", "left").select("band", "id", "n", "c", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")), "rest")
         other = rows.select("band", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("e"), F.col("common").alias("d"))
         enough = F.least("common", "d") * (100 + self.percent) >= (F.col("n") + F.col("m")) * self.percent

@@ -132,6 +132,18 @@ def test_near_duplicates(spark, size):
     assert all(r["kept"] == (i == want[i][1]) for i, r in got.items())
 
 
+def test_near_duplicates_where_an_id_has_several_texts(spark):
+    rng = random.Random(31)
+    base = [sentence(rng, 40) for _ in range(8)]
+    near = [" ".join(["changed", *b.split()[1:]]) for b in base]
+    # id 1 leads the classes of four texts, 20 has two texts and leads one class, 2 leads the other
+    rows = [(1, base[k]) for k in range(4)] + [(10 + k, base[k]) for k in range(4)] + [(40 + k, near[k]) for k in range(4)]
+    rows += [(2, base[4]), (20, base[4]), (20, base[5]), (21, near[5]), (3, base[6]), (30, near[6]), (31, base[7])]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    lead = {i: 1 for i in (1, 10, 11, 12, 13, 40, 41, 42, 43)} | {i: 2 for i in (2, 20, 21)} | {3: 3, 30: 3, 31: 31}
+    assert got == {(i, c, i == c) for i, c in lead.items()}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(docs_of(spark, [(1, None)]).limit(0)).count() == 0
     one = near_dedup.near_duplicates(docs_of(spark, [(None, "x y z"), (None, "x y z"), (4, "x y z")])).collect()
