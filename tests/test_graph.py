@@ -29,6 +29,24 @@ def test_shortest_paths(spark):
     assert h.traverse("A", "C", node_types=["Node"], edge_types=["X"]) is None
 
 
+def test_shortest_paths_of_all_conversations(spark):
+    from nodeloom.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.01"
+    turns = {(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn").collect()}
+    want = []
+    for c in {c for c, _ in turns}:
+        at, nodes = 0, 1
+        while (c, at) in turns and at < 3:
+            at, nodes = at + 1, nodes + 1
+        if (c, 0) in turns and (c, at) in turns and at == 3:
+            want.append((c * 1_000_000, c * 1_000_000 + 3, nodes))
+    assert len(want) > 20
+    assert sorted(map(tuple, QUERIES["bfs_shortest_all"](spark, sf_dir).collect())) == sorted(want)
+    few = sorted(map(tuple, QUERIES["bfs_shortest"](spark, sf_dir).collect()))
+    assert few == sorted(w for w in want if w[0] < 20 * 1_000_000)  # its SQL takes these only
+
+
 def test_dag_and_order(spark):
     g = lettered(spark, CYCLE)
     order = g.topological_sort()
