@@ -38,6 +38,64 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one job: written to the shared folder like :func:`materialize`, deleted by :meth:`drop`."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = fresh_path(self.spark, label)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the folders of these tables; of all of them if none are named. No later plan may read them."""
+        for path in [p for p, t in self.paths.items() if not tables or any(t is x for x in tables)]:
+            del self.paths[path]
+            delete_path(self.spark, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def slot(key: F.Column, bits: int) -> F.Column:
+    """The bit that a well-mixed 64-bit key has in :func:`key_bitmap`: its highest ``bits`` bits."""
+    return F.shiftrightunsigned(key, 64 - bits)
+
+
+def key_bitmap(keys: DataFrame, count: int, most: int = 26) -> tuple[np.ndarray, int]:
+    """A bitmap of the well-mixed 64-bit keys in the only column, about 16 bits a key, and the logarithm of its length.
+
+    It is never longer than 2**most bits (8 MB), however many keys there are: beyond that it lets more rows through that
+    a join behind it has to refuse, and it never refuses a key that is there.
+    """
+    bits = min(most, max(16, (16 * count).bit_length()))
+    at = slot(F.col(keys.columns[0]), bits)
+    parts = keys.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("data"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts.collect():
+        out[r["part"] * 4096 : r["part"] * 4096 + 4096] = np.frombuffer(r["data"], np.uint8)[: len(out)]
+    return out, bits
+
+
+def in_bitmap(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at these slots are set."""
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
