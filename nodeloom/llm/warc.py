@@ -3,20 +3,20 @@
 :func:`write_archive` writes, for every page, a request record, a response record (or a revisit of the response with the
 same payload and the smallest page_id) and a metadata record; request and metadata name the capture's record in
 WARC-Concurrent-To. Records are lines of Spark's text writer whose separator is the CRLF CRLF that ends a WARC record,
-gzip-compressed, so the archive lies wherever Spark can write. :func:`read_archive` reads whole archive files (their
-size is bounded by ``records_per_file``), parses records by Content-Length, and :func:`assemble` joins them through
-their concurrent-to identifiers into one nested row per capture.
+gzip-compressed (one gzip stream a file), so the archive lies wherever Spark can write. :func:`read_archive` streams the
+files chunk by chunk, puts blocks together by Content-Length, and :func:`assemble` joins records through their
+concurrent-to identifiers into one nested row per capture. No step holds more than some records at a time, whatever the
+size of a file; ``records_per_file`` sets only how finely an archive can be read in parallel.
 
 Defined cases: null html is an empty payload; a null page_id is written as ``null`` and never the target of a revisit
 while a row with an id has the same payload; repeated rows of a page_id are captures of their own that share a record
 id, and each comes back; null urls become empty; empty tables give empty archives and results; control characters in
-urls are percent-encoded.
+urls are percent-encoded; very large pages are single rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +30,12 @@ _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32_sha1(text: F.Column) -> F.Column:
-    """Bare upper-case base32 of the SHA-1: 160 bits are 8 runs of 20, each of 5 hexadecimal or 4 base32 digits."""
-    runs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(F.sha1(text), i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
+    """Bare upper-case base32 of the SHA-1 of a string or binary column: 160 bits are 8 runs of 20, each of 5 hexadecimal
+    or 4 base32 digits. The hash is bound to a variable, as an expression inside the runs would be evaluated for each."""
     digit = lambda v, shift: F.substring(F.lit(_ALPHABET), F.shiftright(v, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1))
-    return F.array_join(F.transform(runs, lambda v: F.concat(digit(v, 15), digit(v, 10), digit(v, 5), digit(v, 0))), "")
+    run = lambda v: F.concat(digit(v, 15), digit(v, 10), digit(v, 5), digit(v, 0))
+    runs = lambda h: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(h, i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
+    return F.get(F.transform(F.array(F.sha1(text)), lambda h: F.array_join(F.transform(runs(h), run), "")), F.lit(0))
 
 
 def _record(kind: F.Column | str, record_id: F.Column, url: F.Column, extra: list[F.Column], content_type: str, block: F.Column) -> F.Column:
@@ -71,44 +73,57 @@ _ARROW = pa.schema([(n, pa.binary() if t == "binary" else pa.string()) for n, t
 _NAMES = {b"warc-type": 0, b"warc-record-id": 1, b"warc-concurrent-to": 2, b"warc-refers-to": 3, b"warc-target-uri": 4, b"warc-payload-digest": 5}
 
 
-def parse_records(data: bytes) -> Iterator[list]:
-    """Records of one archive file, gzip members included."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        row: list = [None] * 7
-        length = 0
-        for line in data[at:end].split(b"\r\n")[1:]:
-            key, _, value = line.partition(b":")
-            key, value = key.strip().lower(), value.strip()
-            if key == b"content-length":
-                length = int(value)
-            elif (k := _NAMES.get(key)) is not None:
-                row[k] = value.decode("utf-8", "replace").strip("<>")
-        row[6] = data[end + 4 : end + 4 + length]
-        yield row
-        at = end + 4 + length
+_END = b"\r\n\r\n"
+
+
+def parse_records(chunks: Iterable[bytes]) -> Iterator[list]:
+    """Records of archive files that come as the chunks between CRLF CRLF, one file after the other.
+
+    A chunk that is a record's head says how long the block behind it is; the block's chunks are put together again, so
+    it may hold CRLF CRLF and lines that look like a head. A block that ends in CRLF runs into the next head, which is
+    then cut off it. Chunks outside records are passed over.
+    """
+    row: list | None = None
+    length = held = 0
+    block: list[bytes] = []
+    for chunk in chunks:
+        if row is not None:
+            block.append(chunk)
+            held += len(_END) + len(chunk)
+            if held < length:
+                continue
+            joined = _END.join(block)
+            row[6] = joined[:length]
+            yield row
+            row, chunk = None, joined[length + len(_END) :]
+        if chunk.startswith(b"WARC/1."):
+            row, block, length, held = [None] * 7, [], 0, -len(_END)
+            for line in chunk.split(b"\r\n")[1:]:
+                key, _, value = line.partition(b":")
+                key, value = key.strip().lower(), value.strip()
+                if key == b"content-length":
+                    length = int(value)
+                elif (k := _NAMES.get(key)) is not None:
+                    row[k] = value.decode("utf-8", "replace").strip("<>")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column(0):
+    rows: list[list] = []
+    held = 0
+    made = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_ARROW.types)], schema=_ARROW)
+    for row in parse_records(chunk for batch in batches for chunk in batch.column(0).to_pylist()):
+        rows.append(row)
+        held += len(row[6])
+        if held > 4 << 20 or len(rows) == 5000:
+            yield made()
             rows, held = [], 0
-            for row in parse_records(content.as_py()):
-                rows.append(row)
-                held += len(row[6])
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+    yield made()
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row per WARC record: kind, ids, url, digest, block."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content").mapInArrow(_parse, _RECORD)
+    """One row per WARC record: kind, ids, url, digest, block. Files are streamed; a task holds some records at a time."""
+    chunks = spark.read.option("lineSep", "\r\n\r\n").option("pathGlobFilter", "*.txt*").text(path)
+    return chunks.select(F.col("value").cast("binary")).mapInArrow(_parse, _RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -121,19 +136,19 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def capture_digests(captures: DataFrame) -> DataFrame:
     """What the op's query returns, from assembled captures alone."""
-    field = lambda block, pattern: F.regexp_extract(F.decode(block, "UTF-8"), pattern, 1)
-    body = F.decode(F.col("response.block"), "UTF-8")
-    payload = F.substring(body, F.instr(body, "\r\n\r\n") + 4, F.lit(2147483647))
+    block = F.col("response.block")
+    as_text = lambda b: b.cast("string")  # noqa: E731  the same bytes
+    # heads are ASCII, so characters up to their end are bytes
+    payload = F.substring(block, F.instr(as_text(block), "\r\n\r\n") + 4, F.lit(2147483647))
     response = F.col("kind") == "response"
-    stated = field(F.substring(F.col("response.block"), 1, 400), "Content-Length: ([0-9]+)").cast("long")
-    rows = captures.select(
-        field(F.col("metadata.block"), "page_id: (-?[0-9]+)").try_cast("long").alias("page_id"),
+    stated = F.regexp_extract(as_text(F.substring(block, 1, 400)), "Content-Length: ([0-9]+)", 1).try_cast("long")
+    return captures.select(
+        F.regexp_extract(as_text(F.col("metadata.block")), "page_id: (-?[0-9]+)", 1).try_cast("long").alias("page_id"),
         F.when(response, F.octet_length(payload).cast("long")).otherwise(stated).alias("payload_bytes"),
         F.when(response, base32_sha1(payload)).otherwise(F.substring_index("digest", ":", -1)).alias("payload_digest"),
         F.col("kind").alias("record_type"),
         F.regexp_extract("refers_to", ":(-?[0-9]+):", 1).try_cast("long").alias("refers_to"),
     )
-    return rows
 
 
 def round_trip(pages: DataFrame, min_payload: int = 0, **columns: str) -> DataFrame:
