@@ -11,7 +11,9 @@ the result again, in a join that adaptive execution can split where a digest is
 
 Defined cases: null text counts as empty, and all texts without other characters are equal; of equal texts the one with
 most code points stays, then the smallest doc_id, a null doc_id last; repeated rows are returned as often as they occur
-with the same values; an empty table gives an empty result; other columns pass through :func:`deduplicate` untouched.
+with the same values, and :func:`deduplicate` keeps one row of those that agree in id and group and are equally long;
+very long texts are hashed whole; an empty table gives an empty result; other columns, whatever their names, pass
+through :func:`deduplicate` untouched.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import SPACES, no_nulls, partitions
+from nodeloom.llm.common import SPACES, no_nulls, partitions, unused
 
 
 class CuckooIndex:
@@ -147,28 +149,34 @@ def normalized(text: F.Column) -> F.Column:
     return F.translate(text, SPACES, "")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(normalized(no_nulls(text_col)), 256).alias("text_sha256"), F.char_length(no_nulls(text_col)).cast("long").alias("chars"))
     entries = rows.select(F.unhex("text_sha256").alias("digest"), "chars", F.col("doc_id").alias("keep"), F.lit(1).cast("long").alias("members")).mapInArrow(_fold, _FOLDED)
     groups = entries.repartition(partitions(docs.sparkSession), "digest").mapInArrow(_fold, _FOLDED)
     groups = groups.select(F.lower(F.hex("digest")).alias("text_sha256"), F.col("chars").alias("keep_chars"), F.col("keep").alias("keep_id"), F.col("members").alias("group_size"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
-    return rows.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return rows.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "chars")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _groups(docs, id_col, text_col).drop("chars")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were; of rows that repeat both id and text one stays."""
-    found = exact_groups(docs, id_col, text_col)
-    dropped = found.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(normalized(no_nulls(text_col)), 256)
-    out = docs.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")
-    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    found = _groups(docs, id_col, text_col)
+    own, sha, chars = (unused(docs, f"dedup_{x}") for x in ("id", "sha", "chars"))
+    keys = docs.withColumns({own: F.col(id_col).cast("long"), sha: F.sha2(normalized(no_nulls(text_col)), 256), chars: F.char_length(no_nulls(text_col)).cast("long")})
+    # a row that stays has, of its group, a length or an id that no dropped row has
+    dropped = found.where("NOT kept").select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s"), F.col("chars").alias("n"))
+    out = keys.join(dropped, keys[own].eqNullSafe(dropped["i"]) & (keys[sha] == dropped["s"]) & (keys[chars] == dropped["n"]), "left_anti")
+    repeated = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s"))
     if repeated.isEmpty():
-        return out
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-    again = out.join(repeated, same, "left_semi").withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
-    return out.join(repeated, same, "left_anti").unionByName(again)
+        return out.drop(own, sha, chars)
+    same = out[own].eqNullSafe(repeated["i"]) & (out[sha] == repeated["s"])
+    again = out.join(repeated, same, "left_semi").dropDuplicates([own, sha])
+    return out.join(repeated, same, "left_anti").unionByName(again).drop(own, sha, chars)
 
 
 SQL = r"""
