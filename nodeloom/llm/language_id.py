@@ -6,11 +6,13 @@ the larger sum of margins. Languages are those that the training rows carry; :da
 other language is a family of its own.
 
 Training uses about ``per_language`` rows of each language, drawn by a hash of the id; rates come from counts over all
-rows. Every document is predicted, in one narrow map without a shuffle.
+rows. N-grams are counted where the texts are, and the driver gets vectors of fixed size, never texts. Every document is
+predicted, in one narrow map without a shuffle.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is every text if nothing was learned;
-with a single language all texts with letters are that one; repeated rows get the same answer; an empty table gives an
-empty result.
+with a single language all texts with letters are that one; repeated rows get the same answer and are learned from once;
+very long texts are read whole, a text at a time; further columns, whatever their names, are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.llm import ngrams
-from nodeloom.llm.common import texts_of
+from nodeloom.llm.common import Scratch, texts_of
 from nodeloom.llm.linear import dense_svm
 from nodeloom.llm.toxicity import remainder
 
@@ -86,23 +88,40 @@ class Model:
         return [self.languages[k] if ok else "und" for k, ok in zip(best, known, strict=True)], np.where(known, score, 0.0)
 
 
-def features_of(texts: pa.Array) -> np.ndarray:
-    out = [np.bincount(s, minlength=1 << BITS).astype(np.float32) / max(1, n) for s, n in ngrams.slots_of(*texts_of(texts), SIZES, BITS)]
-    return np.stack(out) if out else np.zeros((0, 1 << BITS), np.float32)
+def _vectors(sample: DataFrame) -> list[tuple[str, bytes]]:
+    """(lang, vector) of a sample (lang, text): the frequencies of its n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for slots, n in ngrams.slots_of(*texts_of(b.column(1)), SIZES, BITS):
+                found, count = np.unique(slots, return_counts=True)
+                rows.append(ngrams.pack(found, count / max(1, n)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["lang", "vector"])
+
+    return sorted((r["lang"], bytes(r["vector"])) for r in sample.select("lang", "text").mapInArrow(run, "lang string, vector binary").collect())
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 800) -> Model:
-    """Learns from rows whose crc32 of the id leaves no remainder of 2 by 4, about ``per_language`` of each language."""
-    known = docs.where(F.col(lang_col).isNotNull() & (remainder(id_col, 4) != 2))
-    counts = {r[lang_col]: r["count"] for r in known.groupBy(lang_col).count().collect()}
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 800, most_rows: int = 8000) -> Model:
+    """Learns from rows whose crc32 of the id leaves no remainder of 2 by 4: about ``per_language`` of each language, and of
+    all languages together at most ``most_rows`` (or one a language). Texts stay on the executors."""
+    known = docs.where(F.col(lang_col).isNotNull() & (remainder(id_col, 4) != 2)).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).alias("id"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return Model([])
-    rate = F.element_at(F.create_map(*[F.lit(x) for k in sorted(counts) for x in (k, min(1.0, per_language / counts[k]))]), F.col(lang_col))
-    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) / float(1 << 20)
-    rows = known.where(draw < rate).select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id")).collect()
-    rows = sorted(rows, key=lambda r: (r["id"], r["text"]))
-    languages = sorted({r["lang"] for r in rows})
-    return Model(languages, features_of(pa.array([r["text"] for r in rows], pa.large_string())), np.array([languages.index(r["lang"]) for r in rows], int))
+    each = max(1, min(per_language, most_rows // len(counts)))
+    # a few more than needed are drawn, so that rows that repeat and chance leave enough
+    rate = F.element_at(F.create_map(*[F.lit(x) for k in sorted(counts) for x in (k, min(1.0, 1.25 * each / counts[k]))]), F.col("lang"))
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
+    scratch = Scratch(docs.sparkSession)
+    drawn = known.where(draw < rate).withColumn("key", F.xxhash64("id", "text"))
+    drawn = scratch.keep(drawn.groupBy("lang", "key").agg(F.first("text").alias("text")), "languages")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    sample = scratch.keep(drawn.withColumn("place", place).where(F.col("place") <= each).select("lang", "text").repartition(8), "languages")
+    rows = _vectors(sample)
+    scratch.drop()
+    languages = sorted({lang for lang, _ in rows})
+    return Model(languages, ngrams.unpack([v for _, v in rows], 1 << BITS), np.array([languages.index(lang) for lang, _ in rows], int))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

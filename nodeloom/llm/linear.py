@@ -5,22 +5,21 @@ from __future__ import annotations
 import numpy as np
 
 
-def sparse_logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, truth: np.ndarray, weight: np.ndarray, features: int, penalty: float, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by accelerated gradient; triplets (row, col, value), truth in -1/+1."""
-    n = len(truth)
+def logistic(x: np.ndarray, truth: np.ndarray, weight: np.ndarray, penalty: float, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression by accelerated gradient; ``x`` rows x features in single precision, truth in -1/+1."""
     weight = weight / weight.sum()
-    size = float((np.bincount(row, value**2, minlength=n) * weight).sum()) or 1.0
-    value = value / np.sqrt(size)
-    w, v, b, vb = np.zeros(features), np.zeros(features), 0.0, 0.0
+    size = float(sum((w * np.square(part).sum(axis=1)).sum() for part, w in zip(np.array_split(x, 16), np.array_split(weight, 16), strict=True))) or 1.0
+    root = 1 / np.sqrt(size)
+    w, v, b, vb = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0.0, 0.0
     for k in range(rounds):
-        z = np.bincount(row, value * v[col], minlength=n) + vb
+        z = (x @ v.astype(np.float32)) * root + vb
         s = -truth * weight / (1 + np.exp(np.clip(truth * z, -30, 30)))
-        grad = np.bincount(col, value * s[row], minlength=features) + penalty * v
+        grad = (s.astype(np.float32) @ x) * root + penalty * v
         nw, nb = v - 2.0 * grad, vb - 2.0 * float(s.sum())
         m = k / (k + 3)
         v, vb = nw + m * (nw - w), nb + m * (nb - b)
         w, b = nw, nb
-    return w / np.sqrt(size), b
+    return w * root, b
 
 
 def dense_svm(x: np.ndarray, truth: np.ndarray, penalty: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:

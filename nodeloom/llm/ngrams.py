@@ -71,3 +71,19 @@ def sums(data: np.ndarray, at: np.ndarray, sizes: tuple[int, ...], bits: int, ta
     if not total:
         return np.zeros((len(tables), 0)), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(total, axis=1), np.concatenate(length), np.concatenate(letters)
+
+
+#: A sparse vector is packed as the numbers of its features (32 bits each), then their values in single precision.
+
+
+def pack(features: np.ndarray, values: np.ndarray) -> bytes:
+    return features.astype(np.int32).tobytes() + values.astype(np.float32).tobytes()
+
+
+def unpack(rows: list[bytes], width: int) -> np.ndarray:
+    """Rows x ``width``, dense."""
+    out = np.zeros((len(rows), width), np.float32)
+    for k, data in enumerate(rows):
+        n = len(data) // 8
+        out[k, np.frombuffer(data, np.int32, n)] = np.frombuffer(data, np.float32, n, 4 * n)
+    return out
