@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from nodeloom.llm import decontamination, exact_dedup, mixing, near_dedup, toxicity
 from nodeloom.llm.common import materialize, table
@@ -32,8 +31,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their size and the words taken of them (repeats counted)."""
-    taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), "size", "source_size", "target", "taken")
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    return mixing.take(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
