@@ -168,7 +168,7 @@ def _sets(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
 
 
 #: A leader whose band groups add up to more rows than this has its members in several parts.
-_PART = 4096
+_PART = 1024
 _BESIDE = [("lead", pa.int64()), ("node", pa.int64()), ("degree", pa.int64()), ("more", pa.bool_())]
 
 
