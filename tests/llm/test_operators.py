@@ -85,7 +85,31 @@ def test_pii_learns_reliabilities():
     counts = [(0, (1, 1, 1, 1, 1), 2, 500), (0, (1, 1, 1, 0, 1), 2, 300), (2, (1, -1, 0, 0, -1), 2, 400), (6, (0, 1, 1, 1, 1), 5, 50)]
     post, table = pii.estimate(counts)
     assert post[0] > 0.9 and post[2] < 0.1 and post[3] > 0.5
-    assert table[1, 1, 1] > table[1, 0, 1]
+    assert table[2, 1, 0, -1] > table[2, 1, 1, -1]
+
+
+def test_pii_decides_on_what_no_rule_settles(spark):
+    """Added spans: accepted and rejected against each single labeler, for the sum of what the labelers say."""
+    rng = random.Random(17)
+    run = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    hexa, letters = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+    with_luhn = lambda: next(d for d in (run("456", 1) + run("0123456789", 15) for _ in range(1000)) if luhn(d))
+    texts = []
+    for i in range(60):
+        key, digest, word, card = "a1" + run(hexa, 38), "b2" + run(hexa, 38), run(letters, 20), with_luhn()
+        bad = card[:-1] + str((int(card[-1]) + 1) % 10)
+        texts.append((i, f'api_key = "{key}" and commit {digest} then {word} paid {card} not {bad} to bob{i}@mail.example.com at 81.4.{i}.7 or +1 (212) 555-{1000 + i}'))
+    odd = 'token: "Zk-' + run(hexa, 12).upper() + 'q_9"'
+    texts += [(100, odd), (101, "x" * 40 + " " + "1" * 40), (102, None), (100, odd)]
+    rows = pii.find_spans(docs_of(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        i, t = r["doc_id"], dict(texts)[r["doc_id"]] or ""
+        added = [(pii.KINDS[x["kind"]], t[x["start"] : x["end"]]) for x in r["spans"] if not x["base"]]
+        if i < 60:
+            assert added == [("secret", t.split('"')[1])], (i, added)
+        else:
+            assert added == ([("secret", t.split('"')[1])] if i == 100 else []), (i, added)
 
 
 # ---------------------------------------------------------------- 3
