@@ -6,11 +6,11 @@ NaN and the empty string are false. Equality is null-safe and never converts bet
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -377,10 +377,12 @@ class Expressions:
             return Val(F.contains(a.col, b.col), BOOL)
         if isinstance(e.right, (s.Lit, s.Param)):
             pattern = e.right.value if isinstance(e.right, s.Lit) else self.params[e.right.name]
-            try:
-                re.compile(pattern)
-            except re.error as error:
-                raise CypherRuntimeError(f"Invalid regular expression: {pattern}") from error
+            spark = SparkSession.getActiveSession()
+            if spark is not None and isinstance(pattern, str):
+                try:  # by the engine that will run it
+                    spark._jvm.java.util.regex.Pattern.compile(pattern)
+                except IllegalArgumentException as error:
+                    raise CypherRuntimeError(f"Not a regular expression: {pattern}") from error
         return Val(F.rlike(a.col, F.concat(F.lit("^(?:"), b.col, F.lit(")$"))), BOOL)
 
     def _native_id(self, call: s.Expr, other: s.Expr, scope: Scope) -> Column | None:

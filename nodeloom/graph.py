@@ -75,9 +75,9 @@ class Transaction:
 
     def _check(self) -> None:
         if not self.active:
-            raise TransactionNotActiveError("Transaction is not active")
+            raise TransactionNotActiveError("No transaction is open")
         if self.failed:
-            raise TransactionFailedError("Transaction has failed and can only be rolled back")
+            raise TransactionFailedError("A statement of this transaction failed; roll it back")
 
     def commit(self) -> None:
         self._check()
@@ -94,7 +94,7 @@ class Transaction:
 
     def rollback(self) -> None:
         if not self.active:
-            raise TransactionNotActiveError("Transaction is not active")
+            raise TransactionNotActiveError("No transaction is open")
         self.active, self.changes = False, []
 
 
@@ -279,6 +279,20 @@ class Graph:
         self._need_node(target)
         return filters.select(self._tables().edges.where(F.col("_dst") == target), options, "_type")
 
+    def get_edges_by_sources(self, ids: Iterable[str] | DataFrame, options: dict[str, Any] | None = None) -> DataFrame:
+        """Edges that leave any of ``ids`` (a list, or a DataFrame whose first column has them), in one semi-join."""
+        return filters.select(self._edges_at("_src", ids), options, "_type")
+
+    def get_edges_by_targets(self, ids: Iterable[str] | DataFrame, options: dict[str, Any] | None = None) -> DataFrame:
+        return filters.select(self._edges_at("_dst", ids), options, "_type")
+
+    def _edges_at(self, end: str, ids: Iterable[str] | DataFrame) -> DataFrame:
+        edges = self._tables().edges
+        if not isinstance(ids, DataFrame):
+            return edges.where(F.col(end).isin(list(ids)))
+        wanted = ids.select(F.col(quoted(ids.columns[0])).cast("string").alias("__wanted"))
+        return edges.join(wanted, F.col(end) == F.col("__wanted"), "left_semi")
+
     def get_direct_edges_between(self, a: str, b: str, options: dict[str, Any] | None = None) -> DataFrame:
         """Edges of both directions, a self-loop once."""
         self._need_node(a)

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from nodeloom.errors import CypherRuntimeError, CypherSemanticError, UnboundParameterError
 from nodeloom.functions.expressions import BOOL, LONG, STR, Binding, Edge, Expressions, Node, Scope, Val, column, entity_value, is_num, is_str, kind, null, truth
 from nodeloom.operators.traversal import trails
+from nodeloom.plans import ordering
 from nodeloom.plans import syntax as s
 from nodeloom.plans.parser import alias_of, has_aggregate, is_aggregate
 from nodeloom.sources.catalog import EDGE_META, Catalog, EdgeTable, NodeTable, global_id
@@ -69,6 +70,8 @@ class Compiler:
         self.exprs = Expressions(self.params)
         self.fresh = count()
         self.read: set[str] = set()
+        #: Edge tables that a path has begun with, by the column of the node begun at.
+        self.opened: dict[str, tuple[DataFrame | None, Edge, list[EdgeTable]]] = {}
 
     # ---------------------------------------------------------------- entry
 
@@ -77,7 +80,7 @@ class Compiler:
         names = [f.columns for f in frames]
         for k, other in enumerate(names[1:], 2):
             if len(other) != len(names[0]):
-                raise CypherSemanticError(f"All queries in a UNION must return the same number of columns. Query 1 returns {len(names[0])}, but Query {k} returns {len(other)}.")
+                raise CypherSemanticError(f"UNION parts differ in width: part 1 has {len(names[0])} columns, part {k} has {len(other)}")
             if other != names[0]:
                 raise CypherSemanticError(f"All queries in a UNION must return the same column names: {names[0]} and {other}")
         out = frames[0]
@@ -135,13 +138,29 @@ class Compiler:
     # ---------------------------------------------------------------- reading clauses
 
     def reading(self, rows: Rows, clauses: list) -> Rows:
-        for c in clauses:
+        k = 0
+        while k < len(clauses):
+            c = clauses[k]
+            k += 1
             if isinstance(c, s.Unwind):
                 rows = self.unwind(rows, c)
             elif c.optional:
                 rows = self.optional(rows, c)
             else:
-                rows = self.match(rows, c.paths, c.where)
+                run = [c]
+                while k < len(clauses) and isinstance(clauses[k], s.Match) and not clauses[k].optional:
+                    run.append(clauses[k])
+                    k += 1
+                for m in run:
+                    self._once(m.paths)
+                ordered = self._ordered(rows, [p for m in run for p in m.paths])
+                if ordered is not None:
+                    for m in run:
+                        ordered = self.where(ordered, m.where)
+                    rows = ordered
+                else:
+                    for m in run:
+                        rows = self.match(rows, m.paths, m.where)
         return rows
 
     def unwind(self, rows: Rows, c: s.Unwind) -> Rows:
@@ -155,22 +174,65 @@ class Compiler:
             return Rows(df.withColumn(name, v.col).where(F.col(name).isNotNull()), rows.scope | {c.name: Val(F.col(name), v.type)})
         return Rows(df.select("*", F.explode(v.col).alias(name)), rows.scope | {c.name: Val(F.col(name), v.type.elementType)})
 
-    def match(self, rows: Rows, paths: Iterable[s.Path], where: s.Expr | None) -> Rows:
+    def _once(self, paths: Iterable[s.Path]) -> None:
         own: set[str] = set()
         for p in paths:
             for n in [*([p.name] if p.name else []), *s.pattern_names(p)]:
                 if n in own:
                     raise CypherSemanticError(f"Variable '{n}' is bound more than once in one MATCH")
                 own.add(n)
+
+    def match(self, rows: Rows, paths: Iterable[s.Path], where: s.Expr | None) -> Rows:
+        paths = list(paths)
+        self._once(paths)
         for p in paths:
             rows = self.path(rows, p)
         return self.where(rows, where)
 
+    def _ordered(self, rows: Rows, paths: list[s.Path]) -> Rows | None:
+        """Patterns with a cycle, joined edge by edge in the order of :mod:`ordering`; None where the written order will do."""
+        edges = [e for p in paths for e in p.edges]
+        names = [x.name for p in paths for x in (*p.nodes, *p.edges) if x.name]
+        kinds_differ = {n for p in paths for n in (x.name for x in p.nodes)} & {e.name for e in edges if e.name}
+        if any(p.name or not p.edges for p in paths) or any(e.variable or e.name and (e.name in rows.scope or names.count(e.name) > 1) for e in edges) or kinds_differ:
+            return None
+        if any(isinstance(rows.scope.get(n.name), Edge | Val) for p in paths for n in p.nodes if n.name):
+            return None
+        single: list[tuple[s.NodePattern, s.EdgePattern, s.NodePattern]] = []
+        for p in paths:
+            nodes = [n if n.name else s.NodePattern(f" {next(self.fresh)}", n.labels, n.props) for n in p.nodes]
+            for k, e in enumerate(p.edges):
+                single.append((nodes[k], e, nodes[k + 1]))
+        bound = {n for n, b in rows.scope.items() if isinstance(b, Node)}
+        steps = [ordering.Step(a.name or "", b.name or "", *self._unique(e)) for a, e, b in single]
+        if not ordering.has_cycle(steps, bound):
+            return None
+        start = list(dict.fromkeys(n.name or "" for a, _, b in single for n in (a, b)))
+        labels: dict[str, set[str] | None] = {}
+        hidden = {n for n in start if n.startswith(" ")}
+        for begin, k in ordering.order(steps, bound, start):
+            a, e, b = single[k]
+            if begin == b.name or begin is None and a.name not in rows.scope or begin is None and b.name in rows.scope and not steps[k].from_a and steps[k].from_b:
+                a, e, b = b, s.EdgePattern(e.name, e.types, e.props, not e.incoming, e.low, e.high), a
+            rows, near = self._start_at_edge(rows, a, e) or self._start(rows, a)
+            labels.setdefault(a.name or "", set(a.labels) or None)
+            rows, far, _, _ = self._expand(rows, near, labels[a.name or ""], e, b, False, False)
+            if b.name not in rows.scope:
+                rows = Rows(rows.df, rows.scope | {b.name or "": far})
+            labels.setdefault(b.name or "", set(b.labels) or None)
+        return Rows(rows.df, {n: b for n, b in rows.scope.items() if n not in hidden})
+
+    def _unique(self, e: s.EdgePattern) -> tuple[bool, bool]:
+        """Whether a node at the pattern's left, at its right, has one such edge at most."""
+        tables = self.catalog.edge_tables(e.types)
+        src, dst = (len(tables) == 1 and end in tables[0].unique for end in ("src", "dst"))
+        return (dst, src) if e.incoming else (src, dst)
+
     def where(self, rows: Rows, where: s.Expr | None) -> Rows:
         if where is None:
             return rows
         if has_aggregate(where):
-            raise CypherSemanticError("Aggregate functions cannot be used in WHERE")
+            raise CypherSemanticError("WHERE cannot hold an aggregate")
         for part in conjuncts(as_predicate(where)):
             negated = isinstance(part, s.Unary) and part.op == "NOT" and isinstance(part.of, s.Exists)
             if isinstance(part, s.Exists) or negated:
@@ -263,7 +325,8 @@ class Compiler:
                 raise CypherSemanticError(f"Variable '{e.name}' is not a relationship")
         first = bound[0] if bound else self._best_start(p)
         at: dict[int, Node] = {}
-        rows, at[first] = self._start(rows, p.nodes[first])
+        begun = self._start_at_edge(rows, p.nodes[0], p.edges[0]) if first == 0 and p.edges and p.name is None else None
+        rows, at[first] = begun or self._start(rows, p.nodes[first])
         known: dict[int, set[str] | None] = {first: set(p.nodes[first].labels) or None}
         pieces: dict[int, Column] = {}
         inner: dict[int, Column] = {}
@@ -299,6 +362,21 @@ class Compiler:
         rows = Rows(joined, rows.scope | ({n.name: b} if n.name else {}))
         return self._props(rows, b, n.props), b
 
+    def _start_at_edge(self, rows: Rows, n: s.NodePattern, e: s.EdgePattern) -> tuple[Rows, Node] | None:
+        """Begins at the edge table itself where its rows say all that the query reads of the first node."""
+        if rows.df is not None or not self.catalog.complete or e.variable or n.props or n.name in self.read or n.name in rows.scope:
+            return None
+        tables = self.catalog.edge_tables(e.types)
+        ends = [t.dst_labels if e.incoming else t.src_labels for t in tables]
+        tables = [t for t, x in zip(tables, ends, strict=True) if not n.labels or x is None or set(n.labels) & set(x)]
+        if not tables or n.labels and not all(x is not None and set(x) <= set(n.labels) for x in ends if x is None or set(n.labels) & set(x)):
+            return None
+        edges, edge, tables = self.edges(e, e.name or "r", Node("", None, None, {}), set(n.labels) or None)
+        here, space = (edge.dst, edge.dst_space) if e.incoming else (edge.src, edge.src_space)
+        self.opened[here] = (edges, edge, tables)
+        near = Node(here, space, None, {})
+        return Rows(edges, rows.scope | ({n.name: near} if n.name else {})), near
+
     def _same(self, a: Column, a_space: str | None, b: Column, b_space: str | None) -> Column:
         return a == b if a_space == b_space else global_id(a, a_space) == global_id(b, b_space)
 
@@ -306,7 +384,8 @@ class Compiler:
         df = self._frame(rows)
         # later steps of a path of variable length leave from anywhere
         begin = Node(near.id, None, None, {}) if e.variable else near
-        edges, edge, tables = self.edges(e, e.name or "r", begin, None if e.variable else near_labels)
+        opened = self.opened.pop(near.id, None)
+        edges, edge, tables = opened or self.edges(e, e.name or "r", begin, None if e.variable else near_labels)
         again = rows.scope.get(e.name) if e.name else None
         if edges is None:
             edges = self.spark.createDataFrame([], f"{edge.id} string, {edge.src} string, {edge.dst} string, {edge.type} string")
@@ -321,7 +400,8 @@ class Compiler:
             native = near.space is not None and here_space == there_space == near.space
             far_col, far_space = F.col(f"{edge.id}_cur"), near.space if native else None
         else:
-            df = df.join(edges, self._same(F.col(near.id), near.space, F.col(here), here_space))
+            if opened is None:
+                df = df.join(edges, self._same(F.col(near.id), near.space, F.col(here), here_space))
             far_col, far_space = F.col(there), there_space
             if named:
                 steps = F.array(edge.struct())
@@ -500,7 +580,7 @@ class Compiler:
         counted = isinstance(x, s.Call)
         if isinstance(x, s.PatternComprehension):
             if has_aggregate(x.result) or x.where is not None and has_aggregate(x.where):
-                raise CypherSemanticError("Aggregate functions cannot be used inside PatternComprehension")
+                raise CypherSemanticError("A pattern comprehension cannot hold an aggregate")
             path, where, result = x.path, x.where, x.result
         else:
             pattern = x.args[0] if counted else x
@@ -553,14 +633,14 @@ class Compiler:
         if not final:
             for i in items:
                 if not i.alias and not isinstance(i.expr, (s.Var, s.Prop)):
-                    raise CypherSemanticError("Expression in WITH must be aliased (use AS)")
+                    raise CypherSemanticError("WITH needs AS after an expression")
         if p.star:
             taken = {alias_of(i) for i in items}
             items = [s.Item(s.Var(n), n) for n in rows.scope if n not in taken and not n.startswith("\0")] + items
         for i in items:
             for x in s.walk(i.expr):
                 if isinstance(x, s.Comprehension) and any(has_aggregate(y) for y in s.children(x)):
-                    raise CypherSemanticError("Aggregate functions cannot be used inside ListComprehension")
+                    raise CypherSemanticError("A list comprehension cannot hold an aggregate")
         aggregated = any(has_aggregate(i.expr) for i in items) or any(has_aggregate(o.expr) for o in p.order)
         order = list(p.order)
         if aggregated:
@@ -588,7 +668,12 @@ class Compiler:
         if p.distinct:
             keys = [b.id if isinstance(b, (Node, Edge)) else b.col._jc.toString() for b in scope.values()]
             keep = list(dict.fromkeys(c for b in scope.values() for c in (b.columns() if isinstance(b, (Node, Edge)) else [b.col._jc.toString()])))
-            rows.df = df.select(*keep).dropDuplicates(list(dict.fromkeys(keys)))
+            df = df.select(*keep)
+            # maps, as in paths, have no equality: they are told apart by their JSON
+            keys = list(dict.fromkeys(keys))
+            told = {k: self._name("key") for k in keys if "map<" in df.schema[k].dataType.simpleString()}
+            df = df.withColumns({n: F.to_json(F.struct(k)) for k, n in told.items()})
+            rows.df = df.dropDuplicates([told.get(k, k) for k in keys]).drop(*told.values())
         if p.where is not None:
             rows = Rows(rows.df, scope | {k: v for k, v in rows.scope.items() if k.startswith("\0")})
             kept = self.where(Rows(rows.df, scope), p.where)
@@ -702,9 +787,8 @@ class Compiler:
             return (F.count_distinct(col) if x.distinct else F.count(col)), LONG
         v = entity_value(b) if isinstance(b, (Node, Edge)) else b
         if name == "collect":
-            col = F.collect_list(v.col)
-            t = T.ArrayType(v.type or STR)
-            return (F.array_distinct(col) if x.distinct else col), t
+            comparable = v.type is not None and "map<" not in v.type.simpleString()
+            return (F.collect_set if x.distinct and comparable else F.collect_list)(v.col), T.ArrayType(v.type or STR)
         if name in ("min", "max"):
             return (F.min if name == "min" else F.max)(v.col), v.type
         col = v.col

@@ -259,7 +259,7 @@ class Writer:
                 self.out.summary.properties_set += ids.count()
             else:
                 if what != "node":
-                    raise CypherSemanticError("Labels can only be removed from nodes")
+                    raise CypherSemanticError("Only a node has labels to remove")
                 have = self.out.snapshot.nodes.join(ids, "_id", "left_semi").select(F.sum(F.size(F.array_intersect("_labels", F.array(*[F.lit(x) for x in labels])))).alias("n")).first()["n"]
                 self._apply(DropLabels(ids, labels))
                 self.out.summary.labels_removed += have or 0

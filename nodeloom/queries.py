@@ -161,12 +161,6 @@ def api_aggregate_property(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bfs_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length of a shortest path from the first turn of each conversation below 20 to its turn 3."""
-    g = star_schema(spark, sf_dir)
-    return _to_turn_3(g.nodes[-1].df.where("conv < 20"), g.edges[-1].df)
-
-
-def bfs_shortest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length of a shortest path from the first turn of each conversation to its turn 3, over the whole table."""
     g = star_schema(spark, sf_dir)
     return _to_turn_3(g.nodes[-1].df, g.edges[-1].df)
@@ -197,8 +191,7 @@ FUNCTIONS: dict[str, tuple[Query, str | None]] = {
     "api_get_nodes_filter": (api_get_nodes_filter, "SELECT 'Customer:' || c_custkey AS _id, c_name AS name, c_acctbal AS acctbal FROM customer WHERE c_acctbal > 9000 OR c_mktsegment = 'BUILDING' AND c_acctbal <= 0 ORDER BY c_acctbal DESC, c_name LIMIT 25"),
     "api_edges_between": (api_edges_between, "SELECT 'BACK' AS type, 1 AS n UNION ALL SELECT 'IN', 1 FROM nation WHERE n_nationkey = 0 AND n_regionkey = 0"),
     "api_aggregate_property": (api_aggregate_property, "SELECT count(*) AS n, sum(c_acctbal) AS total, avg(c_acctbal) AS mean, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer"),
-    "bfs_shortest": (bfs_shortest, "SELECT conv_id * 1000000 AS src, conv_id * 1000000 + 3 AS dst, 4 AS nodes FROM conversations WHERE conv_id < 20 AND turn = 3"),
-    "bfs_shortest_all": (bfs_shortest_all, "SELECT conv_id * 1000000 AS src, conv_id * 1000000 + 3 AS dst, 4 AS nodes FROM conversations WHERE turn BETWEEN 0 AND 3 GROUP BY conv_id HAVING count(DISTINCT turn) = 4"),
+    "bfs_shortest": (bfs_shortest, "SELECT conv_id * 1000000 AS src, conv_id * 1000000 + 3 AS dst, 4 AS nodes FROM conversations WHERE turn BETWEEN 0 AND 3 GROUP BY conv_id HAVING count(DISTINCT turn) = 4"),
     "is_dag": (is_dag, "SELECT true AS dag"),
     "topo_levels": (topo_levels, "SELECT conv_id * 1000000 + turn AS id, turn AS level FROM conversations"),
 }

@@ -7,8 +7,9 @@ an id takes its global form ``space:key``. Graphs built through the API have the
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +18,21 @@ NODE_META = ("_id", "_labels", "createdOn", "updatedOn")
 EDGE_META = ("_id", "_src", "_dst", "_type", "createdOn", "updatedOn")
 
 
+class _Table:
+    """What a table holds: a DataFrame, or a function that opens it when a query first names the table."""
+
+    source: DataFrame | Callable[[], DataFrame]
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source if isinstance(self.source, DataFrame) else self.source()
+
+
 @dataclass(frozen=True)
-class NodeTable:
+class NodeTable(_Table):
     """``df`` has ``_id`` and property columns; ``labels`` None: a column ``_labels`` holds each node's labels."""
 
-    df: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     labels: tuple[str, ...] | None
     space: str = ""
 
@@ -31,15 +42,19 @@ class NodeTable:
 
 
 @dataclass(frozen=True)
-class EdgeTable:
-    """``df`` has ``_id``, ``_src``, ``_dst`` and property columns; ``type`` None: a column ``_type`` holds the type."""
+class EdgeTable(_Table):
+    """``df`` has ``_id``, ``_src``, ``_dst`` and property columns; ``type`` None: a column ``_type`` holds the type.
+
+    ``unique`` names the ends ("src", "dst") at which a node has one edge of the table at most.
+    """
 
-    df: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     type: str | None
     src_space: str = ""
     dst_space: str = ""
     src_labels: tuple[str, ...] | None = None
     dst_labels: tuple[str, ...] | None = None
+    unique: tuple[str, ...] = ()
 
     @property
     def properties(self) -> list[str]:

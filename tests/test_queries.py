@@ -132,3 +132,28 @@ def test_plans(people):
     assert people.get_query_plan("MATCH (a) RETURN a", "mermaid").startswith("flowchart LR")
     run = people.query("MATCH (a:Person) RETURN a.name", execution_plan="json")
     assert '"rowsOut": 3' in run.plan
+
+
+def test_cycles_are_joined_where_they_close():
+    from nodeloom.plans.ordering import Step, has_cycle, order
+
+    # customer-nation (one nation a customer), supplier-nation (one a supplier), supplier-order, customer-order (one customer an order)
+    steps = [Step("c", "n", True, False), Step("s", "n", True, False), Step("s", "o", False, False), Step("c", "o", False, True)]
+    assert has_cycle(steps, set()) and not has_cycle(steps[:3], set()) and has_cycle(steps[:3], {"n", "o"})
+    got = order(steps, set(), ["c", "n", "s", "o"])
+    # one join that multiplies rows: each supplier's orders; customers follow by key and the nation closes the cycle
+    assert got == [("s", 1), (None, 2), (None, 3), (None, 0)]
+    assert [k for _, k in order(steps, {"c", "s"}, [])][:2] == [0, 1]
+    apart = [Step("a", "b", False, False), Step("b", "a", False, False), Step("x", "y", False, False)]
+    assert [begin for begin, _ in order(apart, set(), ["a", "b", "x", "y"])] == ["a", None, "x"]
+
+
+def test_distinct_paths_and_java_patterns(spark):
+    from nodeloom import Graph
+    from nodeloom.sources.tables import star_schema
+
+    g = Graph(spark, star_schema(spark, "/root/testdata/sf0.001"))
+    assert g.query("MATCH p=(n:Nation)-[:IN_REGION*1..2]->(r) RETURN DISTINCT p").df.count() == 25
+    assert g.query(r"MATCH (r:Region) WHERE r.name =~ '\\p{Lu}+.*' RETURN count(r) AS n").rows[0]["n"] == 5
+    plan = g.sql_plan("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN o.orderpriority AS p, count(c) AS n")
+    assert "customer.parquet" not in plan  # the edge table says it all
