@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nodeloom import api_queries
 from nodeloom.graph import Graph
 from nodeloom.sources.tables import star_schema
 
@@ -196,5 +197,7 @@ FUNCTIONS: dict[str, tuple[Query, str | None]] = {
     "topo_levels": (topo_levels, "SELECT conv_id * 1000000 + turn AS id, turn AS level FROM conversations"),
 }
 
+FUNCTIONS |= api_queries.FUNCTIONS
+
 QUERIES: dict[str, Query] = {n: _text(q, p) for n, (q, p, _) in TEXTS.items()} | {n: _write(w) for n, (w, _) in WRITES.items()} | {n: f for n, (f, _) in FUNCTIONS.items()}
 SQL: dict[str, str] = {n: x for n, (_, _, x) in TEXTS.items()} | {n: x for n, (_, x) in WRITES.items()} | {n: x for n, (_, x) in FUNCTIONS.items() if x}

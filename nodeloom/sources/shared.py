@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where the session names none (tests)."""
+    """``spark.checkpoint.dir``; on a single machine that names none (tests) a temporary folder, on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark, "_nodeloom_shared", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="nodeloom-")

@@ -12,16 +12,26 @@ from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from nodeloom.sources.catalog import Catalog, EdgeTable, NodeTable
 
 
 def star_schema(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The catalog of the tables in ``sf_dir``. A table is opened when a query first names its label or type."""
+    """The catalog of the tables in ``sf_dir``.
+
+    A table is opened when a query first names its label or type; what columns a path has is looked up once a session.
+    """
+    schemas: dict[str, StructType] = spark.__dict__.setdefault("_nodeloom_schemas", {})
 
     @cache
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        path = f"{sf_dir}/{name}.parquet"
+        if path in schemas:
+            return spark.read.schema(schemas[path]).parquet(path)
+        df = spark.read.parquet(path)
+        schemas[path] = df.schema
+        return df
 
     Rows = Callable[[], DataFrame]
     region, nation, customer, supplier, part, orders, lineitem, events = (partial(read, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"))
