@@ -146,7 +146,7 @@ class Graph:
     # ---------------------------------------------------------------- queries
 
     def query(self, text: str, params: dict[str, Any] | None = None, transaction: Transaction | None = None, execution_plan: str | None = None) -> QueryResult:
-        """Runs a statement. ``execution_plan``: 'json', 'text' or 'mermaid' adds the plan with row counts and times."""
+        """Runs a statement. ``execution_plan``: 'json', 'text' or 'mermaid' adds the plan with the rows and time of each step."""
         q = parsed(text)
         began = time.time()
         if isinstance(q, (s.CreateIndex, s.DropIndex, s.ShowIndexes)):
@@ -164,12 +164,13 @@ class Graph:
             assert out.df is not None
             return QueryResult(out.df, out.summary.as_dict())
         c = Compiler(self.spark, self.catalog(transaction), params)
+        c.trace = [] if execution_plan else None
         df = c.union(q) if isinstance(q, s.Union) else c.query(q)
         plan = None
         if execution_plan:
             df = df.cache()
             stats = {"rowsOut": df.count(), "timeMs": round((time.time() - began) * 1000, 3)}
-            plan = describe(q, execution_plan, stats)
+            plan = describe(q, execution_plan, stats, c.trace)
         return QueryResult(df, Summary().as_dict(), plan)
 
     def sql_plan(self, text: str, params: dict[str, Any] | None = None) -> str:

@@ -70,6 +70,9 @@ class Compiler:
         self.exprs = Expressions(self.params)
         self.fresh = count()
         self.read: set[str] = set()
+        #: For PROFILE: (kind of step, rows so far) of the outermost pattern, as :func:`describe.steps` names them.
+        self.trace: list[tuple[str, DataFrame]] | None = None
+        self.inside = 0
         #: Edge tables that a path has begun with, by the column of the node begun at.
         self.opened: dict[str, tuple[DataFrame | None, Edge, list[EdgeTable]]] = {}
 
@@ -108,6 +111,11 @@ class Compiler:
         assert rows.df is not None
         return rows.df
 
+    def _note(self, kind: str, rows: Rows) -> Rows:
+        if self.trace is not None and not self.inside and rows.df is not None:
+            self.trace.append((kind, rows.df))
+        return rows
+
     def unit(self) -> Rows:
         return Rows(None, {})
 
@@ -143,9 +151,9 @@ class Compiler:
             c = clauses[k]
             k += 1
             if isinstance(c, s.Unwind):
-                rows = self.unwind(rows, c)
+                rows = self._note("Unwind", self.unwind(rows, c))
             elif c.optional:
-                rows = self.optional(rows, c)
+                rows = self._note("OptionalMatch", self.optional(rows, c))
             else:
                 run = [c]
                 while k < len(clauses) and isinstance(clauses[k], s.Match) and not clauses[k].optional:
@@ -216,7 +224,10 @@ class Compiler:
                 a, e, b = b, s.EdgePattern(e.name, e.types, e.props, not e.incoming, e.low, e.high), a
             rows, near = self._start_at_edge(rows, a, e) or self._start(rows, a)
             labels.setdefault(a.name or "", set(a.labels) or None)
+            if begin is not None:
+                self._note("NodeScan", rows)
             rows, far, _, _ = self._expand(rows, near, labels[a.name or ""], e, b, False, False)
+            self._note("EdgeExpand", rows)
             if b.name not in rows.scope:
                 rows = Rows(rows.df, rows.scope | {b.name or "": far})
             labels.setdefault(b.name or "", set(b.labels) or None)
@@ -241,7 +252,7 @@ class Compiler:
             outer = rows.scope
             rows, e = self.extract(rows, part)
             rows = Rows(self._frame(rows).where(self.exprs.truth(e, rows.scope)), outer)
-        return rows
+        return self._note("Filter", rows)
 
     # ---------------------------------------------------------------- patterns
 
@@ -327,16 +338,19 @@ class Compiler:
         at: dict[int, Node] = {}
         begun = self._start_at_edge(rows, p.nodes[0], p.edges[0]) if first == 0 and p.edges and p.name is None else None
         rows, at[first] = begun or self._start(rows, p.nodes[first])
+        self._note("VerifyNode" if bound else "NodeScan", rows)
         known: dict[int, set[str] | None] = {first: set(p.nodes[first].labels) or None}
         pieces: dict[int, Column] = {}
         inner: dict[int, Column] = {}
         for k in range(first, len(p.edges)):
             rows, at[k + 1], pieces[k], inner[k] = self._expand(rows, at[k], known[k], p.edges[k], p.nodes[k + 1], p.name is not None, False)
+            self._note("EdgeExpand", rows)
             known[k + 1] = set(p.nodes[k + 1].labels) or None
         for k in range(first - 1, -1, -1):
             e = p.edges[k]
             turned = s.EdgePattern(e.name, e.types, e.props, not e.incoming, e.low, e.high)
             rows, at[k], pieces[k], inner[k] = self._expand(rows, at[k + 1], known[k + 1], turned, p.nodes[k], p.name is not None, True)
+            self._note("EdgeExpand", rows)
             known[k] = set(p.nodes[k].labels) or None
         if p.name:
             rows = self._named(rows, p, at, pieces, inner)
@@ -507,6 +521,13 @@ class Compiler:
     def _correlate(self, rows: Rows, paths: Iterable[s.Path], where: s.Expr | None, extra: Iterable[s.Expr] = ()) -> tuple[DataFrame, Rows, list[str]]:
         """(outer rows, the pattern's matches for the distinct outer values, names of those columns in both)"""
         cols, inner = self._outer(rows.scope, paths, where, extra)
+        self.inside += 1
+        try:
+            return self._matches_of(rows, paths, where, cols, inner)
+        finally:
+            self.inside -= 1
+
+    def _matches_of(self, rows: Rows, paths: Iterable[s.Path], where: s.Expr | None, cols: list[str], inner: Scope) -> tuple[DataFrame, Rows, list[str]]:
         df = self._frame(rows)
         plain = [n for n in inner if isinstance(inner[n], Val) and inner[n].type is not None]
         for n in plain:
@@ -645,6 +666,7 @@ class Compiler:
         order = list(p.order)
         if aggregated:
             rows, items, order = self._aggregate(rows, items, order)
+            self._note("Aggregate", rows)
         scope: Scope = {}
         made: list[tuple[str, Binding, Val | None]] = []
         aliases = []
@@ -674,6 +696,7 @@ class Compiler:
             told = {k: self._name("key") for k in keys if "map<" in df.schema[k].dataType.simpleString()}
             df = df.withColumns({n: F.to_json(F.struct(k)) for k, n in told.items()})
             rows.df = df.dropDuplicates([told.get(k, k) for k in keys]).drop(*told.values())
+        self._note("Project", rows)
         if p.where is not None:
             rows = Rows(rows.df, scope | {k: v for k, v in rows.scope.items() if k.startswith("\0")})
             kept = self.where(Rows(rows.df, scope), p.where)
@@ -688,7 +711,10 @@ class Compiler:
         df = self._frame(rows)
         if sorts:
             df = df.orderBy(*[self._sort(F.col(n), d) for n, d in sorts])
+            self._note("Sort", Rows(df, scope))
         df = self._cut(df, p.skip, p.limit)
+        if p.skip or p.limit:
+            self._note("Limit", Rows(df, scope))
         if final:
             out = []
             for a in aliases:

@@ -157,3 +157,14 @@ def test_distinct_paths_and_java_patterns(spark):
     assert g.query(r"MATCH (r:Region) WHERE r.name =~ '\\p{Lu}+.*' RETURN count(r) AS n").rows[0]["n"] == 5
     plan = g.sql_plan("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN o.orderpriority AS p, count(c) AS n")
     assert "customer.parquet" not in plan  # the edge table says it all
+
+
+def test_profile_tells_rows_of_each_step(people):
+    import json
+
+    text = "MATCH (a:Person)-[:KNOWS]->(b:Person) WHERE a.age > 20 OPTIONAL MATCH (b)-[:KNOWS]->(c:Person) RETURN a.name AS a, count(c) AS n ORDER BY a LIMIT 1"
+    plan = json.loads(people.query(text, execution_plan="json").plan)
+    rows = [(x["kind"], x.get("executionStats", {}).get("rowsOut")) for x in plan["plan"]["steps"]]
+    assert rows == [("NodeScan", 3), ("EdgeExpand", 3), ("Filter", 3), ("OptionalMatch", 4), ("Aggregate", 2), ("Project", 2), ("Sort", 2), ("Limit", 1)]
+    assert abs(sum(x["executionStats"]["share"] for x in plan["plan"]["steps"]) - 1) < 0.01
+    assert "rows" in people.query(text, execution_plan="text").plan
