@@ -1,6 +1,10 @@
 """The pipeline's stages on a small corpus: what must go goes, what is clean stays."""
 
+import collections
+import hashlib
+import math
 import random
+import re
 
 import corpus_pipeline
 from nodeloom.llm.common import materialize
@@ -43,3 +47,66 @@ def test_pipeline(spark, tmp_path):
     assert left["near_dedup"] - left["decontamination"] == {1}
     assert {"size", "taken", "target"} <= set(docs.columns)
     assert docs.where("taken <= 0 OR taken > 2 * size").count() == 0
+
+
+TABLES = "/root/testdata/sf0.001"
+
+
+def plain_mix(docs):
+    """(doc_id -> taken) by the definition: whole epochs, then documents in key order up to the nearest word."""
+    size = {d: len(re.findall("[^ \t\n\x0b\x0c\r]+", t or "")) for d, t, _ in docs}
+    by = collections.defaultdict(list)
+    for d, _, s in docs:
+        by[s].append(d)
+    order = sorted(s for s in by if s is not None) + ([None] if None in by else [])
+    total, weight = {s: sum(size[d] for d in by[s]) for s in by}, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, open_ = {}, set(order)
+    while open_:
+        left = 1.5 * sum(total.values()) - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 2 * total[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2.0 * total[s]
+            open_.discard(s)
+
+    def key(d):
+        u = (int(hashlib.md5(f"7:{d}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        return -math.log(u) / (1 + min(size[d], 1000) / 1000), str(d)
+
+    taken = {}
+    for s in by:
+        epochs = int(target[s] // total[s]) if total[s] else 0
+        rest, at = target[s] - epochs * total[s], 0
+        for d in sorted(by[s], key=key):
+            at += size[d]
+            taken[d] = epochs * size[d] + (size[d] if at - size[d] / 2 <= rest else 0)
+    return taken
+
+
+def test_pipeline_against_brute_force(spark):
+    """All of a test table; only what is toxic is asked of the operator, whose scores have tests of their own."""
+    from test_operators import brute_components, brute_leaks
+
+    from nodeloom.llm import toxicity
+
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    scores = toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{TABLES}/labels.parquet")))
+    bad = {r["doc_id"] for r in scores.where("predicted = 1").collect()}
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.select("doc_id", "text", "source").collect()]
+    left = [r for r in rows if r[0] not in bad]
+    groups = collections.defaultdict(list)
+    for d, t, s in left:
+        groups[re.sub("[ \t\n\x0b\x0c\r]", "", t or "")].append((-len(t or ""), d))
+    keep = {min(g)[1] for g in groups.values()}
+    left = [r for r in left if r[0] in keep]
+    found = brute_components([(d, t) for d, t, _ in left], 5)
+    left = [r for r in left if found[r[0]][1] == r[0]]
+    items = [r["text"] for r in spark.read.parquet(f"{TABLES}/benchmark.parquet").orderBy("item_id").collect()]
+    leaks = {k for k, _ in brute_leaks([t or "" for _, t, _ in left], items)}
+    left = [r for k, r in enumerate(left) if k not in leaks]
+    want = {d: n for d, n in plain_mix(left).items() if n > 0}
+    got = {r["doc_id"]: r["taken"] for r in corpus_pipeline.run(spark, TABLES).collect()}
+    assert got == want
