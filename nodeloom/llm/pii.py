@@ -39,8 +39,8 @@ BASE = (
 LOOSE = (
     ("email", rf"(?<!{_WORD}){_WORD}++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?:(?:\.| ?[(\[]dot[)\]] ?)[A-Za-z0-9-]++)++", "at"),
     ("phone", r"(?<![+0-9(). -])\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}(?![0-9-])", "digit"),
-    # any long run of letters and digits: words, numbers, digests and keys alike
-    ("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+", ""),
+    # any long run of letters and digits: words, numbers, digests and keys alike, in texts that have a digit, as keys do
+    ("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+", "digit"),
 )
 PATTERNS = BASE + LOOSE
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -112,7 +112,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document: doc_id, cands array of (kind, base, start, end, votes, size)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), no_nulls(text_col).alias("text"))
     rows = rows.withColumn("digit", F.col("text").rlike("[0-9]"))
-    given = {"": F.lit(True), "digit": F.col("digit"), "@": F.contains("text", F.lit("@")), "at": F.contains("text", F.lit("(at)")) | F.contains("text", F.lit("[at]"))}
+    given = {"digit": F.col("digit"), "@": F.contains("text", F.lit("@")), "at": F.contains("text", F.lit("(at)")) | F.contains("text", F.lit("[at]"))}
     none = F.array().cast("array<string>")
     rows = rows.withColumns({f"h{k}": F.when(given[need], F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none) for k, (_, p, need) in enumerate(PATTERNS)})
     rows = rows.withColumns({f"g{k}": F.when(F.size(f"h{k}") > 0, F.split("text", p, -1)).otherwise(none) for k, (_, p, _) in enumerate(PATTERNS)}).drop("text", "digit")
