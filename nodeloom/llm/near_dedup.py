@@ -334,3 +334,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, one document of each group, all columns as they were."""
     dropped = near_duplicates(docs, id_col, text_col, size, percent).where("NOT kept").select(F.col("doc_id").alias(name := unused(docs, "dropped"))).distinct()
     return docs.join(dropped, docs[id_col].cast("long") == dropped[name], "left_anti")
+
+
+#: Of the operator with two words a shingle: all pairs that share a shingle, and what they reach.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(t) < 2 THEN t ELSE list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) END) AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+e AS (SELECT doc_id, unnest(g) AS h FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, u.y FROM r JOIN u ON u.x = r.other)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept
+FROM n JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1) c ON c.doc_id = n.doc_id
+"""

@@ -55,4 +55,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_minhash_near_dedup, op4_source_mixing, op5_decontamination, op6_toxicity, op7_suffix_dedup, op8_language_id, op9_exact_dedup, op10_warc)}
-SQL: dict[str, str] = {"op1_chat_formatting": chat.SQL, "op4_source_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL, "op10_warc": warc.SQL}
+SQL: dict[str, str] = {"op1_chat_formatting": chat.SQL, "op3_minhash_near_dedup": near_dedup.SQL, "op4_source_mixing": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL, "op10_warc": warc.SQL}
