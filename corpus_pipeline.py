@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: five operators in a row, each over what the one before kept."""
+"""A training corpus from raw documents: five operators in a row, each over what the one before kept.
+
+Defined cases: null texts count as empty, and one empty text stays; of repeated rows one stays; rows that share an id but
+not a text are documents of their own until near dedup, which keeps or drops an id as a whole; null ids are kept by near
+dedup; without usable labels no document is toxic, without benchmark items none leaks; very long texts are read whole;
+further columns pass through, but for those that the last stage adds, which replace columns of the same names; an empty
+table gives an empty result at each stage.
+"""
 
 from __future__ import annotations
 
@@ -13,10 +20,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted to the labels of these documents, rejects go."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that differ in white space only, the longest stays, then the smallest id."""
     return exact_dedup.deduplicate(docs)
 
 
@@ -26,6 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
