@@ -4,9 +4,9 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
-
-from test_operators import brute_components, docs_of, sentence
+from test_operators import brute_components, brute_cut, docs_of, sentence
 
 import corpus_pipeline
 from nodeloom.llm import chat, decontamination, mixing, near_dedup, suffix_dedup
@@ -123,3 +123,24 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert {"size", "source_size", "target", "taken", "dropped"} <= set(got.columns) and got.where("taken > 2 * size").count() == 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_suffix_dedup_of_a_test_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert {r["doc_id"]: (bytes(r["kept"]), len(r["starts"])) for r in suffix_dedup.cut_repeats(docs).collect()} == brute_cut(texts)
+
+
+def test_fingerprints_are_of_the_bytes():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 3000).astype(np.uint8)
+    begin = rng.integers(0, 2900, 400)
+    end = begin + rng.integers(0, 69, 400)
+    got = suffix_dedup.fingerprints(data, begin, end)
+    moved = np.concatenate([rng.integers(0, 256, 77).astype(np.uint8), data])
+    assert (suffix_dedup.fingerprints(moved, begin + 77, end + 77) == got).all()
+    assert len(np.unique(got)) == len({data[a:b].tobytes() for a, b in zip(begin, end, strict=True)})
+    for k in np.flatnonzero(end > begin)[:50]:
+        other = data.copy()
+        other[end[k] - 1] ^= 1
+        assert suffix_dedup.fingerprints(other, begin[k : k + 1], end[k : k + 1])[0] != got[k]
