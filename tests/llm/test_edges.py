@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -144,3 +145,26 @@ def test_fingerprints_are_of_the_bytes():
         other = data.copy()
         other[end[k] - 1] ^= 1
         assert suffix_dedup.fingerprints(other, begin[k : k + 1], end[k : k + 1])[0] != got[k]
+
+
+def test_suffix_dedup_shuffles_little(spark):
+    """Texts, k-grams and contexts are sent once each and packed: less than 2.5 x the table's files, however it grows."""
+    store, gateway = spark._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (found.apply(k) for found in [store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())] for k in range(found.size()))}
+    before = stages()
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    suffix_dedup.cut_digests(spark.read.parquet(str(path))).write.format("noop").mode("overwrite").save()
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    sent = sum(n for k, n in stages().items() if k not in before)
+    files = sum(p.stat().st_size for p in ([path] if path.is_file() else path.rglob("*.parquet")))
+    assert 0 < sent < 2.5 * files
+
+
+def test_suffix_dedup_packs_what_it_sends():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 700, 9000, 40_000):
+        keys = np.unique(rng.integers(0, 1 << 32, n).astype(np.uint32))
+        assert (suffix_dedup._unpack_keys(suffix_dedup._pack_keys(keys)) == keys).all()
+        assert n < 700 or len(suffix_dedup._pack_keys(keys)) < 3.3 * len(keys)
+    ids = np.sort(np.append(rng.integers(-(1 << 62), 1 << 62, 90), [np.iinfo(np.int64).min, np.iinfo(np.int64).max]))
+    assert (suffix_dedup._from_planes(suffix_dedup._planes(ids), len(ids)) == ids).all()
