@@ -5,7 +5,7 @@
 2. Documents are read as passages of 64 words, one every 32. A randomised SVD of their TF-IDF vectors over the terms of
    the benchmark gives the latent space: tasks multiply their passages by a random matrix and back (A^T A Omega), the
    products are summed by block of terms, and their orthonormal basis together with the benchmark's own rows spans the
-   space. The fit uses about ``fit_documents`` documents drawn by a hash of the id.
+   space. Every passage of every document takes part.
 3. Every passage of every document is scored against every benchmark item (in blocks of items) by the cosine in that
    space, words outside it counting in the passage's norm. Passages of cosine 0.35 or more, or that hold 0.6 of an item's
    weight, are candidates. So is every passage that shares enough words with an item for step 4, by an exact bound on its
@@ -218,8 +218,47 @@ def _windows(first_block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return row, begin, np.minimum(begin + PER_PASSAGE, first_block[row + 1])
 
 
-def fit_space(space: Space, docs: DataFrame, total: int, id_col: str = "doc_id", text_col: str = "text", rank: int = 256, fit_documents: int = 2000, seed: int = 5) -> None:
-    """Sets ``space.basis`` by a distributed randomised SVD."""
+#: With at most so many terms a task adds up A^T A itself (64 MB), pair by pair of words that stand together.
+_GRAM_TERMS = 4096
+
+
+def _entries(space: Space, hashed: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passage, term's place and value of the entries of A that are not 0, by passage and place; passages have length 1."""
+    first_block, block, place, weight, _ = space.passages(hashed, begin)
+    _, a, e = _windows(first_block)
+    lo = np.searchsorted(block, a)
+    n = np.searchsorted(block, e) - lo
+    at, d = _spread(lo, n), max(1, len(space.terms))
+    key = np.repeat(np.arange(len(n)) * d, n) + place[at]
+    order = np.argsort(key, kind="stable")
+    key, first = np.unique(key[order], return_index=True)
+    value = np.add.reduceat(weight[at[order]].astype(np.float64), first) if len(first) else np.zeros(0)
+    row = key // d
+    length = np.sqrt(np.bincount(row, value**2, minlength=len(n)))
+    return row, key - row * d, (value / np.maximum(length[row], 1e-6)).astype(np.float32)
+
+
+def _add_pairs(gram: np.ndarray, row: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
+    """Adds the products of all two entries of a passage to the upper half of ``gram``."""
+    d, flat = len(gram), gram.reshape(-1)
+    count = np.bincount(row)
+    left = np.cumsum(count)[row] - np.arange(len(row)) if len(row) else row  # entries of the passage from here on
+    base = place * d
+    for k in range(int(count.max(initial=0))):
+        at = np.flatnonzero(left > k)
+        np.add.at(flat, base[at] + place[at + k], value[at] * value[at + k])
+
+
+def _mirror(gram: np.ndarray, step: int = 512) -> None:
+    """The lower half of a symmetric matrix from the upper one."""
+    for i in range(0, len(gram), step):
+        here = gram[i : i + step, i : i + step]
+        here += np.triu(here, 1).T
+        gram[i + step :, i : i + step] = gram[i : i + step, i + step :].T
+
+
+def fit_space(space: Space, docs: DataFrame, total: int, text_col: str = "text", rank: int = 256, seed: int = 5) -> None:
+    """Sets ``space.basis`` by a distributed randomised SVD over every passage of ``docs``, ``total`` rows."""
     d = len(space.terms)
     if not d:
         return
@@ -227,36 +266,35 @@ def fit_space(space: Space, docs: DataFrame, total: int, id_col: str = "doc_id",
     step = max(1, (d + 15) // 16)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros_like(omega)
+        out, gram = np.zeros_like(omega), np.zeros((d, d) if d <= _GRAM_TERMS else (0, 0), np.float32)
         for b in batches:
             for _, hashed, begin in _word_lists(b.column(0)):
-                first_block, block, place, weight, _ = space.passages(hashed, begin)
-                if not len(block):
+                row, place, value = _entries(space, hashed, begin)
+                if len(gram):
+                    _add_pairs(gram, row, place, value)
                     continue
-                _, a, e = _windows(first_block)
-                lo, hi = np.searchsorted(block, a), np.searchsorted(block, e)
-                for i in range(0, len(a), 512):  # dense passages, some at a time
-                    x = np.zeros((min(512, len(a) - i), d), np.float32)
-                    n = hi[i : i + 512] - lo[i : i + 512]
-                    at = np.repeat(lo[i : i + 512], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    np.add.at(x, (np.repeat(np.arange(len(n)), n), place[at]), weight[at])
-                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
+                for i in range(0, int(row[-1]) + 1 if len(row) else 0, 512):  # dense passages, some at a time
+                    p, q = np.searchsorted(row, (i, i + 512))
+                    x = np.zeros((512, d), np.float32)
+                    x[row[p:q] - i, place[p:q]] = value[p:q]
                     out += x.T @ (x @ omega)
+        if len(gram):
+            _mirror(gram)
+            out = gram @ omega
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([out[k * step : (k + 1) * step].tobytes() for k in range(16)], pa.binary())], names=["block", "data"])
 
     def merge(table: pa.Table) -> pa.Table:
-        data = np.sum([np.frombuffer(x.as_py(), np.float32) for x in table["data"]], axis=0, dtype=np.float32)
+        data = np.sum([np.frombuffer(x.as_py(), np.float32) for x in table["data"]], axis=0, dtype=np.float64).astype(np.float32)
         return pa.table({"block": table["block"][:1].cast(pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
 
-    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int(min(1.0, fit_documents / max(total, 1)) * (1 << 20))
-    sample = docs.where(draw).select(F.col(text_col).cast("string")).repartition(8)  # drawn where they lie, then few enough products
-    parts = sample.mapInArrow(multiply, "block int, data binary").groupBy("block").applyInArrow(merge, "block int, data binary").collect()
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism  # a product each: with more there is only more to send
+    parts = docs.select(F.col(text_col).cast("string")).coalesce(tasks).mapInArrow(multiply, "block int, data binary").groupBy("block").applyInArrow(merge, "block int, data binary").collect()
     product = np.zeros_like(omega)
     for r in parts:
         got = np.frombuffer(r["data"], np.float32).reshape(-1, omega.shape[1])
         product[r["block"] * step : r["block"] * step + len(got)] = got
     own = space.rows / np.maximum(np.linalg.norm(space.rows, axis=1, keepdims=True), 1e-6)
-    product += 100.0 * (own.T @ (own @ omega))  # the items' own rows count most
+    product += 100.0 * max(1.0, total / 2000) * (own.T @ (own @ omega))  # the items' own rows count most, however many documents there are
     space.basis = np.linalg.qr(product)[0].astype(np.float32)
 
 
@@ -365,7 +403,7 @@ class Searcher:
 _TABLE = 1 << 24
 
 
-def _searchers(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, answer_col: str | None, block: int, fit_documents: int) -> Iterator[Broadcast]:
+def _searchers(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, answer_col: str | None, block: int) -> Iterator[Broadcast]:
     """A searcher for each block of items; what is broadcast is bounded by ``block`` and by :data:`_TABLE`."""
     rows = benchmark.select(F.col(item_col), F.coalesce(F.col("text").cast("string"), F.lit("")), (F.col(answer_col) if answer_col else F.lit(None)).cast("string")).orderBy(item_col, "text")
     counts, total = term_counts(docs, text_col)
@@ -374,7 +412,7 @@ def _searchers(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str
 
     def ready() -> Broadcast:
         space = Space(Items.of([r[0] for r in held], [r[1] for r in held], [r[2] for r in held]), counts, total)
-        fit_space(space, docs, total, id_col, text_col, fit_documents=fit_documents)
+        fit_space(space, docs, total, text_col)
         return docs.sparkSession.sparkContext.broadcast(Searcher(space))
 
     for r in rows.toLocalIterator():
@@ -388,7 +426,7 @@ def _searchers(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str
         yield ready()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", answer_col: str | None = None, block: int = 1000, fit_documents: int = 2000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", answer_col: str | None = None, block: int = 1000) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, cosine, lcs, answer."""
     spark = docs.sparkSession
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
@@ -404,14 +442,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
-    found = [search(s) for s in _searchers(docs, benchmark, id_col, text_col, item_col, answer_col, block, fit_documents)]
+    found = [search(s) for s in _searchers(docs, benchmark, text_col, item_col, answer_col, block)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", answer_col: str | None = None, block: int = 1000, fit_documents: int = 2000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", answer_col: str | None = None, block: int = 1000) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns as they were; rows are filtered where they are."""
     out = docs
-    for shared in _searchers(docs, benchmark, id_col, text_col, item_col, answer_col, block, fit_documents):
+    for shared in _searchers(docs, benchmark, text_col, item_col, answer_col, block):
 
         def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             for b in batches:

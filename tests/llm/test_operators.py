@@ -290,6 +290,40 @@ def test_paraphrases_without_their_rarest_words(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs_of(spark, list(enumerate(texts))), bench).collect()} == want
 
 
+def test_the_space_is_fitted_to_every_document(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(77)
+    vocabulary = [f"w{k}" for k in range(600)]
+    texts = [(i, " ".join(rng.choice(vocabulary[i % 40 :] + ["x", "y"]) for _ in range(rng.randrange(1, 90)))) for i in range(3000)]
+    docs = docs_of(spark, [*texts, (3000, None), (3001, "")])
+    items = decontamination.Items.of([0, 1, 2], [" ".join(vocabulary[a : a + 60]) for a in (0, 30, 200)], [None] * 3)
+    counts, total = decontamination.term_counts(docs)
+    space = decontamination.Space(items, counts, total)
+    d = len(space.terms)
+    weight = {int(t): float(space.weight[t]) for t in space.terms}
+    term = {w: int(decontamination._term(decontamination.Items.of([0], [w], [None]).words[0])[0]) for w in [*vocabulary, "x", "y"]}
+    place = {int(t): k for k, t in enumerate(space.terms)}
+    whole = np.zeros((d, d))
+    for _, t in texts:
+        w = [term[x] for x in t.split()]
+        for a in range(0, 32 * max(0, (-(-len(w) // 16) - 3) // 2) + 1, 32):
+            x = np.zeros(d)
+            for k in w[a : a + 64]:
+                if k in place:
+                    x[place[k]] += weight[k]
+            if x.any():
+                x /= np.linalg.norm(x)
+                whole += np.outer(x, x)
+    own = space.rows / np.linalg.norm(space.rows, axis=1, keepdims=True)
+    omega = np.random.default_rng(5).standard_normal((d, 6)).astype(np.float32)
+    basis = np.linalg.qr((whole + 100.0 * total / 2000 * own.T @ own) @ omega)[0]
+    for most in (4096, 0):  # by pairs of words, by dense passages
+        monkeypatch.setattr(decontamination, "_GRAM_TERMS", most, raising=False)
+        decontamination.fit_space(space, docs, total, rank=6)
+        assert 6 < d and np.abs(space.basis @ space.basis.T - basis @ basis.T).max() < 1e-3
+
+
 def test_common_subsequence():
     import numpy as np
 
