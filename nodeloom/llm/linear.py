@@ -22,6 +22,27 @@ def logistic(x: np.ndarray, truth: np.ndarray, weight: np.ndarray, penalty: floa
     return w * root, b
 
 
+def calibrate(z: np.ndarray, truth: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Slope and shift that turn margins into log odds (Platt's scaling): a penalised fit keeps margins too small, and
+    with unequal classes the point of equal odds off. Targets are smoothed by the number of rows; Newton's method."""
+    weight, up = weight / weight.sum(), truth > 0
+    target = np.where(up, (up.sum() + 1) / (up.sum() + 2), 1 / ((~up).sum() + 2))
+    x = np.stack([z.astype(np.float64), np.ones(len(z))])
+    loss = lambda v: float(weight @ (np.logaddexp(0, v @ x) - target * (v @ x)))
+    at = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(at @ x, -30, 30)))
+        grad = x @ (weight * (p - target))
+        step = np.linalg.solve((x * (weight * p * (1 - p))) @ x.T + 1e-12 * np.eye(2), grad)
+        size = 1.0
+        while size > 1e-6 and loss(at - size * step) > loss(at):
+            size /= 2
+        at = at - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return (float(at[0]), float(at[1])) if np.isfinite(at).all() and at[0] > 0 else (1.0, 0.0)
+
+
 def dense_svm(x: np.ndarray, truth: np.ndarray, penalty: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
     """L2-regularised squared-hinge support vector machine by accelerated gradient, classes weighed alike."""
     up = truth > 0

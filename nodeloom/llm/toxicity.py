@@ -2,8 +2,9 @@
 
 Features are hashed n-grams of 3 to 6 letters with word boundaries. Each slot's ratio r = log P(slot | toxic) / P(slot |
 not toxic) is counted over the training rows; the ``features`` slots with the largest |r| x frequency are kept, a
-document's feature is r x count / sqrt(length), and a logistic regression is fitted over them. Scoring folds the ratios
-into the weights, so a text's score is one pass of table look-ups and sums over all of it.
+document's feature is r x count / sqrt(length), and a logistic regression is fitted over them and calibrated, so that a
+score of 0.5 parts the classes at equal odds. Scoring folds ratios and calibration into the weights, so a text's score is
+one pass of table look-ups and sums over all of it.
 
 Training uses at most ``per_class`` labelled rows of each class, the first in hash order; the fit weighs them back to
 the classes' true shares, counted over all labelled ids. Their n-grams are counted where the texts are; the driver gets
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from nodeloom.llm import ngrams
 from nodeloom.llm.common import Scratch, texts_of
-from nodeloom.llm.linear import logistic
+from nodeloom.llm.linear import calibrate, logistic
 
 SIZES, BITS = (3, 4, 5, 6), 18
 
@@ -108,8 +109,10 @@ def train(sample: DataFrame, share: float, features: int = 4096, penalty: float
     toxic = np.array([t == 1 for t, _ in rows])
     x = ngrams.unpack([v for _, v in rows], len(keep))
     weight = np.where(toxic, share / toxic.sum(), (1 - share) / (~toxic).sum())
-    w, b = logistic(x, np.where(toxic, 1.0, -1.0), weight, penalty)
-    return Model(keep, w * ratio[keep], b)
+    truth = np.where(toxic, 1.0, -1.0)
+    w, b = logistic(x, truth, weight, penalty)
+    slope, shift = calibrate(x @ w.astype(np.float32) + b, truth, weight)
+    return Model(keep, slope * w * ratio[keep], slope * b + shift)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000) -> Model:

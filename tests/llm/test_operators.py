@@ -395,6 +395,31 @@ def test_toxicity(spark):
     assert toxicity.keep_clean(df, toxicity.fit(df, known)).columns == df.columns
 
 
+def test_toxic_documents_of_a_test_table_are_caught_at_one_half(spark):
+    """Nine of ten labelled rows are not toxic; a score of 0.5 has to part the classes all the same."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).where("held_out").collect()
+    held = [(truth[r["doc_id"]], r["predicted"]) for r in rows if r["doc_id"] in truth]
+    assert sum(p for t, p in held if t == 1) >= 0.9 * sum(t == 1 for t, _ in held) > 50
+    assert sum(p for t, p in held if t == 0) <= 0.02 * len(held)
+
+
+def test_calibration_finds_equal_odds():
+    import numpy as np
+
+    from nodeloom.llm.linear import calibrate
+
+    rng = np.random.default_rng(4)
+    true = rng.normal(-2, 4, 20_000)
+    truth = np.where(rng.random(20_000) < 1 / (1 + np.exp(-true)), 1.0, -1.0)
+    slope, shift = calibrate(0.2 * true - 1.5, truth, np.ones(20_000))
+    assert abs(slope - 5) < 0.4 and abs(shift - 7.5) < 0.6
+    assert calibrate(np.zeros(6), np.array([1.0, 1, 1, -1, -1, -1]), np.ones(6))[0] == 1.0
+    slope, shift = calibrate(np.array([-1.0, -2, 3, 4]), np.array([-1.0, -1, 1, 1]), np.ones(4))
+    assert slope * -1 + shift < 0 < slope * 3 + shift
+
+
 def test_language_id(spark):
     rng = random.Random(8)
     stems = {"en": ["the", "ing", "with", "shore"], "de": ["der", "ung", "schlich", "über"], "fr": ["le", "eau", "tion", "être"], "es": ["el", "ción", "mente", "año"], "xx": ["zzq", "qqz"]}
