@@ -4,8 +4,9 @@
 same payload and the smallest page_id) and a metadata record; request and metadata name the capture's record in
 WARC-Concurrent-To. Records are lines of Spark's text writer whose separator is the CRLF CRLF that ends a WARC record,
 gzip-compressed (one gzip stream a file), so the archive lies wherever Spark can write. :func:`read_archive` streams the
-files chunk by chunk, puts blocks together by Content-Length, and :func:`assemble` joins records through their
-concurrent-to identifiers into one nested row per capture. No step holds more than some records at a time, whatever the
+files chunk by chunk, puts blocks together by Content-Length and measures and hashes each block's payload, and
+:func:`assemble` joins records through their concurrent-to identifiers into one nested row per capture; where nobody asks
+for the blocks of responses, they don't travel. No step holds more than some records at a time, whatever the
 size of a file; ``records_per_file`` sets only how finely an archive can be read in parallel.
 
 Defined cases: null html is an empty payload; a null page_id is written as ``null`` and never the target of a revisit
@@ -16,6 +17,9 @@ urls are percent-encoded; very large pages are single rows; further columns, wha
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -67,9 +71,9 @@ def write_archive(pages: DataFrame, path: str, records_per_file: int = 6000, **c
     plan_records(pages, **columns).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-_FIELDS = [("kind", "string"), ("record_id", "string"), ("concurrent_to", "string"), ("refers_to", "string"), ("url", "string"), ("digest", "string"), ("block", "binary")]
+_FIELDS = [("kind", "string"), ("record_id", "string"), ("concurrent_to", "string"), ("refers_to", "string"), ("url", "string"), ("digest", "string"), ("block", "binary"), ("payload_bytes", "long"), ("payload_digest", "string"), ("stated_bytes", "long")]
 _RECORD = ", ".join(f"{n} {t}" for n, t in _FIELDS)
-_ARROW = pa.schema([(n, pa.binary() if t == "binary" else pa.string()) for n, t in _FIELDS])
+_ARROW = pa.schema([(n, {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}[t]) for n, t in _FIELDS])
 _NAMES = {b"warc-type": 0, b"warc-record-id": 1, b"warc-concurrent-to": 2, b"warc-refers-to": 3, b"warc-target-uri": 4, b"warc-payload-digest": 5}
 
 
@@ -107,12 +111,24 @@ def parse_records(chunks: Iterable[bytes]) -> Iterator[list]:
                     row[k] = value.decode("utf-8", "replace").strip("<>")
 
 
+_STATED = re.compile(rb"(?i)^content-length: *([0-9]{1,18})", re.M)
+
+
+def payload_of(block: bytes) -> tuple[int, str, int | None]:
+    """Bytes behind the head of an HTTP block (all of a block without one), their bare base32 SHA-1, and the length that
+    the head states."""
+    end = block.find(_END)
+    data = memoryview(block)[end + len(_END) if end >= 0 else 0 :]
+    stated = _STATED.search(block, 0, end) if end >= 0 else None
+    return len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), int(stated[1]) if stated else None
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[list] = []
     held = 0
     made = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_ARROW.types)], schema=_ARROW)
     for row in parse_records(chunk for batch in batches for chunk in batch.column(0).to_pylist()):
-        rows.append(row)
+        rows.append([*row, *payload_of(row[6])])
         held += len(row[6])
         if held > 4 << 20 or len(rows) == 5000:
             yield made()
@@ -121,7 +137,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row per WARC record: kind, ids, url, digest, block. Files are streamed; a task holds some records at a time."""
+    """One row per WARC record: kind, ids, url, digest, block, and its payload's size and digest as they were read, and the size stated.
+
+    Files are streamed; a task holds some records at a time.
+    """
     chunks = spark.read.option("lineSep", "\r\n\r\n").option("pathGlobFilter", "*.txt*").text(path)
     return chunks.select(F.col("value").cast("binary")).mapInArrow(_parse, _RECORD)
 
@@ -131,21 +150,17 @@ def assemble(records: DataFrame) -> DataFrame:
     main = records.where(F.col("kind").isin("response", "revisit"))
     side = lambda kind: records.where(F.col("kind") == kind).groupBy("concurrent_to").agg(F.first(F.struct("record_id", "block")).alias(kind)).withColumnRenamed("concurrent_to", f"{kind}_of")
     out = main.join(side("request"), F.col("record_id") == F.col("request_of"), "left").join(side("metadata"), F.col("record_id") == F.col("metadata_of"), "left")
-    return out.select("record_id", "url", "kind", "digest", "refers_to", F.struct("block").alias("response"), "request", "metadata")
+    return out.select("record_id", "url", "kind", "digest", "refers_to", F.struct("block", "payload_bytes", "payload_digest", "stated_bytes").alias("response"), "request", "metadata")
 
 
 def capture_digests(captures: DataFrame) -> DataFrame:
     """What the op's query returns, from assembled captures alone."""
-    block = F.col("response.block")
     as_text = lambda b: b.cast("string")  # noqa: E731  the same bytes
-    # heads are ASCII, so characters up to their end are bytes
-    payload = F.substring(block, F.instr(as_text(block), "\r\n\r\n") + 4, F.lit(2147483647))
     response = F.col("kind") == "response"
-    stated = F.regexp_extract(as_text(F.substring(block, 1, 400)), "Content-Length: ([0-9]+)", 1).try_cast("long")
     return captures.select(
         F.regexp_extract(as_text(F.col("metadata.block")), "page_id: (-?[0-9]+)", 1).try_cast("long").alias("page_id"),
-        F.when(response, F.octet_length(payload).cast("long")).otherwise(stated).alias("payload_bytes"),
-        F.when(response, base32_sha1(payload)).otherwise(F.substring_index("digest", ":", -1)).alias("payload_digest"),
+        F.when(response, F.col("response.payload_bytes")).otherwise(F.col("response.stated_bytes")).alias("payload_bytes"),
+        F.when(response, F.col("response.payload_digest")).otherwise(F.substring_index("digest", ":", -1)).alias("payload_digest"),
         F.col("kind").alias("record_type"),
         F.regexp_extract("refers_to", ":(-?[0-9]+):", 1).try_cast("long").alias("refers_to"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_operators import brute_components, brute_cut, docs_of, sentence
 
 import corpus_pipeline
-from nodeloom.llm import chat, decontamination, mixing, near_dedup, suffix_dedup
+from nodeloom.llm import chat, decontamination, mixing, near_dedup, suffix_dedup, warc
 from nodeloom.llm.common import materialize
 
 
@@ -168,3 +168,17 @@ def test_suffix_dedup_packs_what_it_sends():
         assert n < 700 or len(suffix_dedup._pack_keys(keys)) < 3.3 * len(keys)
     ids = np.sort(np.append(rng.integers(-(1 << 62), 1 << 62, 90), [np.iinfo(np.int64).min, np.iinfo(np.int64).max]))
     assert (suffix_dedup._from_planes(suffix_dedup._planes(ids), len(ids)) == ids).all()
+
+
+def test_blocks_of_an_archive_stay_where_they_are_read(spark):
+    """Digests of captures need the payloads' sizes and hashes only: no join or exchange carries the blocks."""
+    pages = spark.createDataFrame([(1, "u", "<p>\r\n\r\nx</p>"), (2, "u", ""), (3, "v", "<p>\r\n\r\nx</p>"), (4, "w", None)], "page_id long, url string, html string")
+    got = warc.capture_digests(warc.round_trip(pages))
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    carried = [x for x in plan if "Project [" in x and "kind#" in x.split("]")[0] and "record_id#" in x]
+    assert any("Join LeftOuter" in x for x in plan) and carried and not any("block#" in x.split("]")[0] for x in carried)
+    rows = {r["page_id"]: r for r in got.collect()}
+    assert [rows[k]["payload_bytes"] for k in (1, 2, 3, 4)] == [12, 0, 12, 0]
+    assert rows[3]["record_type"] == "revisit" and rows[3]["refers_to"] == 1 and rows[3]["payload_digest"] == rows[1]["payload_digest"]
+    whole = warc.round_trip(pages).where("record_id LIKE '%:1:%'").first()
+    assert bytes(whole["response"]["block"]).endswith(b"\r\n\r\n<p>\r\n\r\nx</p>") and whole["response"]["payload_bytes"] == 12
