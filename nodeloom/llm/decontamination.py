@@ -59,9 +59,9 @@ def _fold_latin(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _word_lists(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _word_lists(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per run of rows: first row, hashes of its words, where each row's begin."""
-    for i, j, part, at in chunks(*texts_of(column)):
+    for i, j, part, at in chunks(*texts_of(column), most):
         _, _, row, hashed = words(_fold_latin(part), at, LETTERS)
         yield i, hashed, np.concatenate(([0], np.cumsum(np.bincount(row, minlength=j - i))))
 
@@ -218,7 +218,7 @@ def _windows(first_block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return row, begin, np.minimum(begin + PER_PASSAGE, first_block[row + 1])
 
 
-#: With at most so many terms a task adds up A^T A itself (64 MB), pair by pair of words that stand together.
+#: With at most so many terms a task adds up half of A^T A itself (32 MB), pair by pair of words that stand together.
 _GRAM_TERMS = 4096
 
 
@@ -238,23 +238,29 @@ def _entries(space: Space, hashed: np.ndarray, begin: np.ndarray) -> tuple[np.nd
     return row, key - row * d, (value / np.maximum(length[row], 1e-6)).astype(np.float32)
 
 
-def _add_pairs(gram: np.ndarray, row: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
-    """Adds the products of all two entries of a passage to the upper half of ``gram``."""
-    d, flat = len(gram), gram.reshape(-1)
+def _add_pairs(half: np.ndarray, d: int, row: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
+    """Adds the products of all two entries of a passage to the upper half of A^T A, whose rows stand end to end."""
     count = np.bincount(row)
     left = np.cumsum(count)[row] - np.arange(len(row)) if len(row) else row  # entries of the passage from here on
-    base = place * d
+    base = place * d - place * (place + 1) // 2
     for k in range(int(count.max(initial=0))):
         at = np.flatnonzero(left > k)
-        np.add.at(flat, base[at] + place[at + k], value[at] * value[at + k])
-
-
-def _mirror(gram: np.ndarray, step: int = 512) -> None:
-    """The lower half of a symmetric matrix from the upper one."""
-    for i in range(0, len(gram), step):
-        here = gram[i : i + step, i : i + step]
-        here += np.triu(here, 1).T
-        gram[i + step :, i : i + step] = gram[i : i + step, i + step :].T
+        np.add.at(half, base[at] + place[at + k], value[at] * value[at + k])
+
+
+def _times(half: np.ndarray, omega: np.ndarray, step: int = 256) -> np.ndarray:
+    """The symmetric matrix with this upper half times ``omega``, some rows at a time."""
+    d, out = len(omega), np.zeros_like(omega)
+    for i in range(0, d, step):
+        rows = np.arange(i, min(i + step, d))
+        part = np.zeros((len(rows), d), np.float32)
+        for r in rows.tolist():
+            first = r * d - r * (r + 1) // 2
+            part[r - i, r:] = half[first + r : first + d]
+        out[rows] += part @ omega
+        part[rows - i, rows] = 0
+        out += part.T @ omega[rows]
+    return out
 
 
 def fit_space(space: Space, docs: DataFrame, total: int, text_col: str = "text", rank: int = 256, seed: int = 5) -> None:
@@ -266,21 +272,20 @@ def fit_space(space: Space, docs: DataFrame, total: int, text_col: str = "text",
     step = max(1, (d + 15) // 16)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, gram = np.zeros_like(omega), np.zeros((d, d) if d <= _GRAM_TERMS else (0, 0), np.float32)
+        out, half = np.zeros_like(omega), np.zeros(d * (d + 1) // 2 if d <= _GRAM_TERMS else 0, np.float32)
         for b in batches:
-            for _, hashed, begin in _word_lists(b.column(0)):
+            for _, hashed, begin in _word_lists(b.column(0), 1 << 18):
                 row, place, value = _entries(space, hashed, begin)
-                if len(gram):
-                    _add_pairs(gram, row, place, value)
+                if len(half):
+                    _add_pairs(half, d, row, place, value)
                     continue
                 for i in range(0, int(row[-1]) + 1 if len(row) else 0, 512):  # dense passages, some at a time
                     p, q = np.searchsorted(row, (i, i + 512))
                     x = np.zeros((512, d), np.float32)
                     x[row[p:q] - i, place[p:q]] = value[p:q]
                     out += x.T @ (x @ omega)
-        if len(gram):
-            _mirror(gram)
-            out = gram @ omega
+        if len(half):
+            out = _times(half, omega)
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([out[k * step : (k + 1) * step].tobytes() for k in range(16)], pa.binary())], names=["block", "data"])
 
     def merge(table: pa.Table) -> pa.Table:
