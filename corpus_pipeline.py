@@ -5,6 +5,9 @@ not a text are documents of their own until near dedup, which keeps or drops an
 dedup; without usable labels no document is toxic, without benchmark items none leaks; very long texts are read whole;
 further columns pass through, but for those that the last stage adds, which replace columns of the same names; an empty
 table gives an empty result at each stage.
+
+Stages with Arrow kernels bound the session's Arrow batches by bytes (``bound_batches``), so that an executor's memory
+does not grow with the length of 10,000 texts; the session keeps that bound.
 """
 
 from __future__ import annotations
@@ -14,28 +17,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nodeloom.llm import decontamination, exact_dedup, mixing, near_dedup, toxicity
-from nodeloom.llm.common import materialize, table
+from nodeloom.llm.common import bound_batches, materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to the labels of these documents, rejects go."""
+    bound_batches(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that differ in white space only, the longest stays, then the smallest id."""
+    bound_batches(spark)
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8 or more; one document of each group stays."""
+    bound_batches(spark)
     return near_dedup.deduplicate(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bound_batches(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

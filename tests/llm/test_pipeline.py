@@ -5,9 +5,14 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from nodeloom.llm.common import materialize
+from nodeloom.llm import common, decontamination, near_dedup, ngrams
+from nodeloom.llm.common import materialize, texts_of
 
 WORDS = "the of and stone river cloud lamp green paper winter table anchor violin meadow copper signal harbor puzzle candle forest".split()
 
@@ -49,6 +54,60 @@ def test_pipeline(spark, tmp_path):
     assert docs.where("taken <= 0 OR taken > 2 * size").count() == 0
 
 
+def test_stages_bound_arrow_batches(spark, tmp_path):
+    """What a kernel gets at once must not grow with the length of 10,000 texts, or an executor's memory does."""
+    texts = " ".join(WORDS[k % 20] + str(k) for k in range(6000))
+    docs = spark.range(0, 300, 1, 1).selectExpr("id AS doc_id", f"concat(id, ' {texts} ', id) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "no such words anywhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            spark.conf.unset(name)
+            stage(spark, docs.limit(3), str(tmp_path))
+            found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) > 300 * len(texts)
+            assert max(found) < (4 << 20) + 2 * len(texts)
+        spark.conf.set(name, "1m")  # a lower bound of the session's own stays
+        corpus_pipeline.drop_exact_copies(spark, docs.limit(3), str(tmp_path))
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_kernels_hold_little_beside_the_text(monkeypatch):
+    """Words, shingles and n-grams of 4 MB of text, with the tables of the hashes."""
+    text = " ".join(WORDS[k * k % 20] + str(k) for k in range(4000))
+    column = pa.array([text] * (4_000_000 // len(text)), pa.large_string())
+    table = np.ones((1, (1 << 18) + 1), np.float32)
+    kernels = [
+        lambda: [None for _ in near_dedup._per_document(column, 5)],
+        lambda: [None for _ in decontamination._word_lists(column)],
+        lambda: ngrams.sums(*texts_of(column), (3, 4, 5, 6), 18, table),
+    ]
+    for kernel in kernels:
+        monkeypatch.setattr(common, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+        tracemalloc.start()
+        kernel()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24_000_000
+
+
+def test_powers_of_long_texts(monkeypatch):
+    monkeypatch.setattr(common, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    for n in (10, 300_000, 1_500_000, 7):
+        up, down = common.powers(n)
+        assert len(up) == len(down) == n
+        assert (up * down == 1).all()
+        assert int(up[n - 1]) == pow(common._BASE, n - 1, 1 << 64)
+
+
 TABLES = "/root/testdata/sf0.001"
 
 
