@@ -182,3 +182,28 @@ def test_blocks_of_an_archive_stay_where_they_are_read(spark):
     assert rows[3]["record_type"] == "revisit" and rows[3]["refers_to"] == 1 and rows[3]["payload_digest"] == rows[1]["payload_digest"]
     whole = warc.round_trip(pages).where("record_id LIKE '%:1:%'").first()
     assert bytes(whole["response"]["block"]).endswith(b"\r\n\r\n<p>\r\n\r\nx</p>") and whole["response"]["payload_bytes"] == 12
+
+
+def test_suffix_dedup_sends_copies_once(spark, tmp_path):
+    """Whole copies go by their digests: their k-grams and contexts are not sent, within a task or across tasks."""
+    one = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for k in range(6):
+        one.selectExpr(f"doc_id + {1_000_000 * k} as doc_id", "text").coalesce(1).write.mode("append").parquet(f"{tmp_path}/six")
+    store, gateway = spark._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (found.apply(k) for found in [store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())] for k in range(found.size()))}
+
+    def run(docs):
+        before = stages()
+        rows = suffix_dedup.cut_repeats(docs).collect()
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return rows, sum(n for k, n in stages().items() if k not in before)
+
+    texts = {r["doc_id"]: r["text"] or "" for r in one.collect()}
+    (alone, little), (rows, much) = run(one), run(spark.read.parquet(f"{tmp_path}/six"))
+    single = {r["doc_id"]: (r["starts"], r["ends"], bytes(r["kept"])) for r in alone}
+    assert len(rows) == 6 * len(alone)
+    for r in rows:
+        whole = texts[r["doc_id"] % 1_000_000].encode()
+        want = single[r["doc_id"]] if r["doc_id"] < 1_000_000 else ([0], [len(whole)], b"") if len(whole) >= 50 else ([], [], whole)
+        assert (r["starts"], r["ends"], bytes(r["kept"])) == want and r["n_bytes"] == len(whole)
+    assert 0 < much < 3 * little
