@@ -280,7 +280,9 @@ class Writer:
                 n = ids.count()
                 if what == "node":
                     snap = self.out.snapshot
-                    touching = snap.edges.join(ids.select(F.col("_id").alias("x")), (F.col("_src") == F.col("x")) | (F.col("_dst") == F.col("x")), "left_semi").count()
+                    # by either end in turn: "this end or that one" would compare every edge with every id
+                    begun = snap.edges.select("_src", "_dst").join(ids, F.col("_src") == F.col("_id"), "left").withColumnRenamed("_id", "__src")
+                    touching = begun.join(ids, F.col("_dst") == F.col("_id"), "left").where(F.col("__src").isNotNull() | F.col("_id").isNotNull()).count()
                     if touching and not c.detach:
                         raise NodeHasEdgesError(f"Cannot delete nodes of '{name}': {touching} edges are attached")
                     self.out.summary.edges_deleted += touching

@@ -180,3 +180,18 @@ def test_random_graphs_against_brute_force(spark):
         assert g.query("MATCH (a)-[]->(b)-[]->(c) RETURN count(*) AS n").rows == [{"n": two}]
         has = sorted(n for n in nodes if not any(a == n and t == "X" for _, a, _, t in edges))
         assert sorted(x["n"] for x in g.query("MATCH (a) WHERE NOT (a)-[:X]->() RETURN id(a) AS n").rows) == has
+
+
+def test_deleting_nodes_compares_no_edge_with_every_node(spark, monkeypatch):
+    from nodeloom.plans.compiler import explain
+
+    g = Graph(spark)
+    g.query("CREATE (a:A {k: 1})-[:E]->(b:A {k: 2}), (a)-[:E]->(c:B {k: 3}), (c)-[:E]->(b), (c)-[:E]->(d:B {k: 4}), (a)-[:E]->(a)")
+    frame = type(spark.range(1))
+    plans, count = [], frame.count
+    monkeypatch.setattr(frame, "count", lambda df: (plans.append(explain(df)), count(df))[1])
+    done = g.query("MATCH (a:A) DETACH DELETE a").summary
+    assert (done["nodes_deleted"], done["edges_deleted"]) == (2, 4)  # edges of both ends and loops count once
+    assert plans and not [p for p in plans if "NestedLoop" in p or "Cartesian" in p]
+    monkeypatch.undo()
+    assert (g.get_node_count(), g.get_edge_count()) == (2, 1)
