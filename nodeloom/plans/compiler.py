@@ -24,6 +24,7 @@ from nodeloom.operators.traversal import trails
 from nodeloom.plans import ordering
 from nodeloom.plans import syntax as s
 from nodeloom.plans.parser import alias_of, has_aggregate, is_aggregate
+from nodeloom.plans.products import counted
 from nodeloom.sources.catalog import EDGE_META, Catalog, EdgeTable, NodeTable, global_id
 
 _UNIT = "_unit"
@@ -73,6 +74,8 @@ class Compiler:
         #: For PROFILE: (kind of step, rows so far) of the outermost pattern, as :func:`describe.steps` names them.
         self.trace: list[tuple[str, DataFrame]] | None = None
         self.inside = 0
+        #: Column with how many rows of the pattern a row stands for, while counts over pairs are projected.
+        self.weight: str | None = None
         #: Edge tables that a path has begun with, by the column of the node begun at.
         self.opened: dict[str, tuple[DataFrame | None, Edge, list[EdgeTable]]] = {}
 
@@ -103,11 +106,14 @@ class Compiler:
         rows = self.unit()
         self.read = self._reads(q)
         for segment in q.segments:
-            rows = self.reading(rows, segment.reading)
+            pairs = counted(self, segment) if rows.df is None and not rows.scope else None
+            rows = pairs[0] if pairs else self.reading(rows, segment.reading)
             if segment.writing:
                 raise CypherSemanticError("This query writes; run it through Graph.query")
             assert segment.projection is not None
+            self.weight = pairs[1] if pairs else None
             rows = self.project(rows, segment.projection, final=segment is q.segments[-1])
+            self.weight = None
         assert rows.df is not None
         return rows.df
 
@@ -802,7 +808,7 @@ class Compiler:
     def _aggregate_column(self, x: s.Call, scope: Scope) -> tuple[Column, T.DataType | None]:
         name = x.name.lower()
         if x.star:
-            return F.count(F.lit(1)), LONG
+            return (F.coalesce(F.sum(self.weight), F.lit(0)) if self.weight else F.count(F.lit(1))), LONG
         if len(x.args) != 1:
             raise CypherRuntimeError(f"{x.name}() expects exactly 1 argument, got {len(x.args)}")
         if isinstance(x.args[0], s.Lit) and x.args[0].value == "*" and name == "count":

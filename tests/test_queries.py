@@ -168,3 +168,28 @@ def test_profile_tells_rows_of_each_step(people):
     assert rows == [("NodeScan", 3), ("EdgeExpand", 3), ("Filter", 3), ("OptionalMatch", 4), ("Aggregate", 2), ("Project", 2), ("Sort", 2), ("Limit", 1)]
     assert abs(sum(x["executionStats"]["share"] for x in plan["plan"]["steps"]) - 1) < 0.01
     assert "rows" in people.query(text, execution_plan="text").plan
+
+
+def test_counts_over_pairs_make_no_pairs(spark):
+    """The same counts as from the pairs themselves (PROFILE makes them), without an inequality join."""
+    nan, inf = float("nan"), float("inf")
+    values = [None, nan, inf, -inf, 0.0, -0.0, 1.0, 1.0, 2.5, 2.5, 1e300, -7.0]
+    rows = [{"id": f"{x}{i}", "labels": [x], "properties": {"k": [1, 2, None][i % 3], "v": v, "i": i % 5, "t": [None, "a", "b", "b"][i % 4], "n": f"{x}{i % 7}"}} for x in "AB" for i, v in enumerate(values * 2)]
+    g = Graph.import_json(spark, {"nodes": rows, "edges": []})
+    head = "MATCH (a:A), (b:B) WHERE "
+    tests = [f"{head}a.k = b.k AND a.v {op} b.v RETURN b.n AS n, count(*) AS c" for op in ("<", "<=", ">", ">=")]
+    tests += [f"{head}b.v > a.i RETURN a.n AS n, count(*) AS c", f"{head}a.t <= b.t AND a.k = b.k RETURN b.n AS n, count(*) AS c", f"{head}a.k = b.i AND a.t = b.t AND b.v > 0 RETURN a.n AS n, count(*) AS c ORDER BY c", f"{head}a.v < b.v RETURN count(*) AS c", f"{head}a.i < b.i AND a.i > 99 RETURN count(*) AS c", "MATCH (a:A) MATCH (b:B) RETURN b.n AS n, count(*) AS c", f"{head}a.k = b.k AND a.v < b.v WITH b, count(*) AS c WHERE c > 2 RETURN b.n AS n, c"]
+    for text in tests:
+        got, want = (sorted(map(tuple, g.query(text, execution_plan=p).df.collect()), key=str) for p in (None, "json"))
+        assert got == want and got, text
+    plan = g.sql_plan(tests[0])
+    for plan in (plan, _plan_of_pairs(spark)):
+        conditions = [x for x in plan.splitlines() if x.startswith("Join condition") and "CASE" not in x]  # CASE: a block of values
+        assert "Window" in plan and not [x for x in conditions if " < " in x or " > " in x]
+
+
+def _plan_of_pairs(spark):
+    from nodeloom.queries import TEXTS
+    from nodeloom.sources.tables import star_schema
+
+    return Graph(spark, star_schema(spark, "/root/testdata/sf0.001")).sql_plan(TEXTS["cross_product_equi"][0])
