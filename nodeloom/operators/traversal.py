@@ -61,7 +61,11 @@ def trails(c: Compiler, df: DataFrame, near: Node, edges: DataFrame, edge: Edge,
     out = reduce(DataFrame.unionByName, found) if found else level.where(F.lit(False)) if k else base.crossJoin(edges).where(F.lit(False))
     if not named:
         return out.drop(used), F.array(), F.array()
-    nodes, b = c.nodes((), "mid")
+    if c.lean:  # every node exists and only their number is read: ids will do
+        body = "struct<id:string,labels:array<string>,properties:map<string,string>>"
+        return out.drop(used), F.col(rels), F.transform(mids, lambda x: F.struct(x.alias("id"), F.array().cast("array<string>").alias("labels"), F.create_map().cast("map<string,string>").alias("properties")).cast(body))
+    # a node between two edges is at both their ends, so it is in the space of the edges' sources
+    nodes, b = c.nodes((), "mid", edge.src_space)
     key = f"{edge.id}_row"
     props = F.create_map(*[x for p, (col, _) in sorted(b.props.items()) for x in (F.lit(p), F.col(col).cast("string"))]) if b.props else F.create_map().cast("map<string,string>")
     plain = nodes.select(global_id(F.col(b.id), b.space).alias("_mid"), F.struct(global_id(F.col(b.id), b.space).alias("id"), F.col(b.labels).alias("labels"), props.alias("properties")).alias("_node"))

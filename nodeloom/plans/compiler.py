@@ -74,6 +74,9 @@ class Compiler:
         #: For PROFILE: (kind of step, rows so far) of the outermost pattern, as :func:`describe.steps` names them.
         self.trace: list[tuple[str, DataFrame]] | None = None
         self.inside = 0
+        #: Named paths of which a query reads only how many nodes they have, and relationships; is this path one of them?
+        self.sized: set[str] = set()
+        self.lean = False
         #: Column with how many rows of the pattern a row stands for, while counts over pairs are projected.
         self.weight: str | None = None
         #: Edge tables that a path has begun with, by the column of the node begun at.
@@ -125,7 +128,34 @@ class Compiler:
     def unit(self) -> Rows:
         return Rows(None, {})
 
+    def _sized(self, q: s.Query) -> set[str]:
+        """Named paths that a query reads only by size(nodes(p)) and relationships(p)."""
+        paths = [p for g in q.segments for c in g.reading if isinstance(c, s.Match) for p in c.paths]
+        other: set[str] = set()
+
+        def look(x: Any) -> None:
+            if isinstance(x, s.Call) and x.name.lower() == "size" and len(x.args) == 1 and isinstance(x.args[0], s.Call) and x.args[0].name.lower() == "nodes" and all(isinstance(y, s.Var) for y in x.args[0].args):
+                return
+            if isinstance(x, s.Call) and x.name.lower() == "relationships" and all(isinstance(y, s.Var) for y in x.args):
+                return
+            if isinstance(x, s.Var):
+                other.add(x.name)
+            for y in s.children(x):
+                look(y)
+
+        for g in q.segments:
+            for c in g.reading:
+                look(c.expr if isinstance(c, s.Unwind) else c.where)
+            for i in (*g.projection.items, *g.projection.order) if g.projection else ():
+                look(i.expr)
+            look(g.projection.where if g.projection else None)
+        for p in paths:
+            for x in s.pattern_exprs(p):
+                look(x)
+        return {p.name for p in paths if p.name and p.name not in other}
+
     def _reads(self, q: s.Query) -> set[str]:
+        self.sized = self._sized(q)
         out: set[str] = set()
         for g in q.segments:
             for c in g.reading:
@@ -140,6 +170,7 @@ class Compiler:
                 for e in (*(o.expr for o in g.projection.order), *([g.projection.where] if g.projection.where else [])):
                     out |= names_read(e)
             if g.projection and g.projection.star or g.writing:
+                self.sized = set()
                 out |= {n for c in g.reading if isinstance(c, s.Match) for p in c.paths for n in s.pattern_names(p)}
         return out
 
@@ -341,6 +372,7 @@ class Compiler:
             if e.name and e.name in rows.scope and not isinstance(rows.scope[e.name], Edge):
                 raise CypherSemanticError(f"Variable '{e.name}' is not a relationship")
         first = bound[0] if bound else self._best_start(p)
+        self.lean = self.catalog.complete and p.name in self.sized
         at: dict[int, Node] = {}
         begun = self._start_at_edge(rows, p.nodes[0], p.edges[0]) if first == 0 and p.edges and p.name is None else None
         rows, at[first] = begun or self._start(rows, p.nodes[first])
@@ -450,7 +482,7 @@ class Compiler:
 
     def _named(self, rows: Rows, p: s.Path, at: dict[int, Node], pieces: dict[int, Column], inner: dict[int, Column]) -> Rows:
         """path = struct(nodes, rels); entities of different shape are brought to their common fields (JSON properties)."""
-        nodes = [entity_value(at[k]) for k in range(len(p.nodes))]
+        nodes = [entity_value(Node(at[k].id, at[k].space, None, {}) if self.lean else at[k]) for k in range(len(p.nodes))]
         same = all(v.type == nodes[0].type for v in nodes) and not any(e.variable for e in p.edges)
         plain = lambda v: v.col if same else F.when(v.col.isNotNull(), F.struct(v.col["id"].alias("id"), v.col["labels"].alias("labels"), self._as_map(v.col["properties"], v.type["properties"].dataType).alias("properties")))
         parts = [F.array(plain(nodes[0]))]
